@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
