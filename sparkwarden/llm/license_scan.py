@@ -54,12 +54,14 @@ KNOWN = {
     "BSD-3-Clause-notice": "Released under the BSD 3-Clause License.",
 }
 
-#: Spellings that count as one, as (pattern over lower-cased words, replacement).
+#: Signs that count as one, replaced before punctuation goes.
+SIGNS = [("https://", "http://"), ("&", " and ")]
+#: Spellings that count as one, over words between single blanks.
 EQUIVALENT = [
     ("licence", "license"),
-    ("sub-license", "sublicense"),
-    ("non-commercial", "noncommercial"),
-    ("non-infringement", "noninfringement"),
+    ("sub license", "sublicense"),
+    ("non commercial", "noncommercial"),
+    ("non infringement", "noninfringement"),
     ("acknowledgement", "acknowledgment"),
     ("per cent", "percent"),
     ("copyright holder", "copyright owner"),
@@ -67,24 +69,30 @@ EQUIVALENT = [
     ("fulfilment", "fulfillment"),
     ("organisation", "organization"),
     ("whilst", "while"),
-    ("https://", "http://"),
-    ("&", " and "),
 ]
 #: Lines that hold only who owns the rights, and since when.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\n©(]*(?:(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9])[^\n]*|all rights reserved[^\p{L}\n]*)$"
 
 
 def canonical(text: Column) -> Column:
-    """Canonical form; line ends stay, one for each line that is left."""
+    """Lower-cased words between single blanks; line ends stay, for each line that is left."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
-    for old, new in EQUIVALENT:
+    for old, new in SIGNS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
 
 
+def spelled(words: Column) -> Column:
+    """Words of one line with equivalent spellings made one."""
+    out = F.trim(words)
+    for old, new in EQUIVALENT:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
 def _one_line(form: Column) -> Column:
-    """A canonical form as words between single blanks."""
-    return F.trim(F.regexp_replace(form, r"[ \n]+", " "))
+    """A canonical form as words between single blanks, spelled alike."""
+    return spelled(F.regexp_replace(form, r"[ \n]+", " "))
 
 
 def known_digests(spark: SparkSession, known: Mapping[str, str]) -> DataFrame:
@@ -105,7 +113,7 @@ def scan(docs: DataFrame, known: Mapping[str, str] = KNOWN, id_col: str = "doc_i
     # A form longer than the longest known one needs no digest of its own; that loses nothing.
     short = (F.length("whole") > 0) & (F.length("whole") <= longest)
     rows = rows.select("id", F.md5("form").alias("key"), "form", F.when(short, F.sha2("whole", 256)).alias("whole_digest"))
-    lines = rows.select("key", F.explode(F.split("form", "\n")).alias("line")).withColumn("line", F.trim("line"))
+    lines = rows.select("key", F.explode(F.split("form", "\n")).alias("line")).withColumn("line", spelled(F.col("line")))
     lines = lines.where((F.length("line") > 0) & (F.length("line") <= longest)).select("key", F.sha2("line", 256).alias("digest"))
     # Few lines match; what matched is kept by the text's key, so copies of a text share it.
     notices = lines.join(names, "digest").groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("notices"))

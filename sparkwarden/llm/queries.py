@@ -90,19 +90,26 @@ def _op5_sql() -> str:
 
     def canonical(text: str) -> str:
         out = f"regexp_replace(lower({text}), {lit(license_scan.COPYRIGHT_LINE)}, '', 'g')"
-        for old, new in license_scan.EQUIVALENT:
+        for old, new in license_scan.SIGNS:
             out = f"replace({out}, {lit(old)}, {lit(new)})"
         return f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
 
+    def spelled(words: str) -> str:
+        out = f"trim({words})"
+        for old, new in license_scan.EQUIVALENT:
+            out = f"replace({out}, {lit(old)}, {lit(new)})"
+        return out
+
     def one_line(form: str) -> str:
-        return f"trim(regexp_replace({form}, '[ \\n]+', ' ', 'g'))"
+        return spelled(f"regexp_replace({form}, '[ \\n]+', ' ', 'g')")
 
     known = ", ".join(f"({lit(k)}, {lit(v)})" for k, v in license_scan.KNOWN.items())
     return f"""
 WITH known(license, body) AS (VALUES {known}),
 named AS (SELECT sha256({one_line(canonical("body"))}) AS digest, min(license) AS license FROM known GROUP BY 1),
 forms AS (SELECT doc_id, {canonical("text")} AS form FROM documents),
-lines AS (SELECT doc_id, trim(unnest(string_split(form, chr(10)))) AS line FROM forms),
+split AS (SELECT doc_id, unnest(string_split(form, chr(10))) AS line FROM forms),
+lines AS (SELECT doc_id, {spelled("line")} AS line FROM split),
 found AS (SELECT l.doc_id, string_agg(DISTINCT n.license, ',' ORDER BY n.license) AS notices FROM lines l JOIN named n ON sha256(l.line) = n.digest WHERE l.line <> '' GROUP BY l.doc_id)
 SELECT f.doc_id, n.license, x.notices
 FROM forms f LEFT JOIN named n ON {one_line("f.form")} <> '' AND sha256({one_line("f.form")}) = n.digest LEFT JOIN found x ON f.doc_id = x.doc_id
