@@ -6,9 +6,9 @@ within a segment of length n it is at most ``n * (m1 * m2 + s1 * s2)``.  Bounds
 go from one segment to finer ones; what still could enter the top k is scored
 exactly in integers.
 
-Vectors are packed into blocks of bounded size on both sides and each pair of
-blocks is searched in one task; per block pair only k rows a query remain, then
-a window keeps the best k.  No side is broadcast or collected.
+Vectors are packed into blocks of bounded size on both sides, blocks of
+candidates are dealt over groups, and each group meets all blocks of queries;
+per pair of blocks only k rows a query remain, then a window keeps the best k.  No side is broadcast or collected.
 
 Defined results: null vectors, vectors holding null, NaN or an infinity, and
 rows without an id take no part.  Vectors of another length than the query's
@@ -109,9 +109,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     rows = vectors.where(sound)
     kept = rows.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"))
     asked = rows.where(is_query).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v")).distinct()
-    data = _pack(kept, block, scale)
-    queries = _pack(asked, query_block, scale).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    pairs = data.join(queries, data["dim"] == queries["q_dim"])
+    # Blocks of candidates are dealt over groups; each group gets all blocks of queries.
+    groups = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = _pack(kept, block, scale).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    queries = _pack(asked, query_block, scale).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("q_group"))
+    pairs = data.join(queries, (data["dim"] == queries["q_dim"]) & (data["group"] == queries["q_group"]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
