@@ -45,6 +45,8 @@ GRAM = 8
 WINDOW = 20
 #: Contexts of one gram within a batch from which on it is keyed by context too.
 MANY = 16
+#: Up to so many ids (8 bytes each) are broadcast, so that other texts need no shuffle.
+BROADCAST_ROWS = 1_000_000
 _BATCH = 8_000_000
 #: Kinds of rows that the anchor pass sends on.
 _MARK, _ANCHOR, _SPREAD, _WITNESS = 0, 1, 2, 3
@@ -102,13 +104,19 @@ def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(order) else np.zeros(0, dtype=bool)
 
 
-_ANCHOR_ROWS = "kind int, k long, c long, id long, at int, n int"
+#: A row's place is one long: start, number of windows from bit 32 on, kind from bit 48 on.
+_ANCHOR_ROWS = "k long, c long, id long, place long"
 
 
 def _frame(kind, k, c, ids, at, n) -> pd.DataFrame:
-    size = len(ids)
-    kind = np.full(size, kind, dtype=np.int32) if np.isscalar(kind) else kind.astype(np.int32)
-    return pd.DataFrame({"kind": kind, "k": k.view(np.int64), "c": c.view(np.int64), "id": ids, "at": at.astype(np.int32), "n": n.astype(np.int32)})
+    place = at.astype(np.int64) | (n.astype(np.int64) << 32) | (np.asarray(kind, dtype=np.int64) << 48)
+    return pd.DataFrame({"k": k.view(np.int64), "c": c.view(np.int64), "id": ids, "place": place})
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with at, n and kind taken from place."""
+    place = F.col("place")
+    return rows.withColumns({"at": place.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"), "n": F.shiftright(place, 32).bitwiseAND(F.lit(0xFFFF)).cast("int"), "kind": F.shiftright(place, 48).cast("int")})
 
 
 def _combined(texts: list, ids: np.ndarray, window: int) -> Iterator[pd.DataFrame]:
@@ -128,8 +136,8 @@ def _combined(texts: list, ids: np.ndarray, window: int) -> Iterator[pd.DataFram
     heads = np.flatnonzero(new)
     lead = heads[np.cumsum(new) - 1]
     later = ~new & ((ids != ids[lead]) | (at != at[lead]))
-    zero = np.zeros(int(later.sum()), dtype=np.uint64)
-    yield _frame(_MARK, zero, zero, ids[later], at[later], n[later])
+    # Marks need no meeting; keyed by id they are dealt evenly.
+    yield _frame(_MARK, ids[later].view(np.uint64), np.zeros(int(later.sum()), dtype=np.uint64), ids[later], at[later], n[later])
     ids, at, n, gram, context = (x[heads] for x in (ids, at, n, gram, context))
     starts = np.append(True, gram[1:] != gram[:-1])
     group = np.cumsum(starts) - 1
@@ -161,9 +169,8 @@ def _marked_anchors(rows: DataFrame, window: int) -> DataFrame:
         for batch in _gathered(batches, ["id", "text"]):
             yield from _combined(batch["text"].tolist(), batch["id"].to_numpy(dtype=np.int64), window)
 
-    sent = rows.mapInPandas(run, _ANCHOR_ROWS)
-    # Marks need no meeting: they get a key of their own.
-    sent = sent.withColumn("k", F.when(F.col("kind") == _MARK, F.xxhash64("id", "at")).otherwise(F.col("k")))
+    # One exchange by k serves both windows: within it k and c are together as well.
+    sent = _placed(rows.mapInPandas(run, _ANCHOR_ROWS).repartition("k"))
     same = Window.partitionBy("k", "c").orderBy("id", "at", "kind")
     ranked = sent.withColumns({"r": F.row_number().over(same), "lead": F.first(F.struct("id", "at")).over(same)})
     contexts = F.sum(F.when((F.col("r") == 1) & (F.col("kind") != _MARK), 1).otherwise(0)).over(Window.partitionBy("k"))
@@ -199,25 +206,34 @@ def _marked_windows(rows: DataFrame, window: int) -> DataFrame:
             lead = heads[np.cumsum(new) - 1] if len(heads) else heads
             later = ~new & ((ids != ids[lead]) | (at != at[lead]))
             send = new | later
-            kind = np.where(new, _ANCHOR, _MARK)[send].astype(np.int32)
-            yield pd.DataFrame({"kind": kind, "k": gram[send].view(np.int64), "id": ids[send], "at": at[send].astype(np.int32)})
+            kind = np.where(new, _ANCHOR, _MARK)[send]
+            key = np.where(new, gram, ids.view(np.uint64))[send]
+            yield _frame(kind, key, key, ids[send], at[send], np.ones(len(key)))[["k", "id", "place"]]
 
-    sent = rows.mapInPandas(run, "kind int, k long, id long, at int")
-    sent = sent.withColumn("k", F.when(F.col("kind") == _MARK, F.xxhash64("id", "at")).otherwise(F.col("k")))
+    sent = _placed(rows.mapInPandas(run, "k long, id long, place long"))
     same = Window.partitionBy("k").orderBy("id", "at")
     # A mark's own key may meet a window's by chance only; the kind keeps them apart.
     lead = F.first(F.when(F.col("kind") == _ANCHOR, F.struct("id", "at")), ignorenulls=True).over(same)
     later = (F.col("id") != F.col("lead.id")) | (F.col("at") != F.col("lead.at"))
     marked = sent.withColumn("lead", lead).where((F.col("kind") == _MARK) | later)
-    return marked.select("id", "at", F.lit(1).alias("n"))
+    return marked.select("id", "at", "n")
+
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of the listed ids, by a broadcast of ids if they are few; else all rows.
+
+    Only narrows what a join with the same ids shuffles.
+    """
+    return rows.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= BROADCAST_ROWS else rows
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, spans): of each document with marked windows their (at, n): first start, count."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     first = stored(_marked_anchors(rows, window), "anchors")
-    spots = first.where("again").groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("spots"))
-    single = _marked_windows(rows.join(spots, "id"), window)
+    look = first.where("again")
+    spots = look.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("spots"))
+    single = _marked_windows(_only(rows, look.select("id").distinct()).join(spots, "id"), window)
     marked = first.where("not again").select("id", "at", "n").unionByName(single)
     return marked.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
@@ -238,8 +254,14 @@ def _cut(text: str | None, spans, window: int) -> tuple[int, int, bytes]:
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(id, text, spans); texts without spans stay where they are if the ids with spans are few."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.join(repeats(docs, id_col, text_col, window), "id", "left")
+    spans = stored(repeats(docs, id_col, text_col, window), "spans")
+    ids = spans.select("id")
+    if ids.count() > BROADCAST_ROWS:
+        return rows.join(spans, "id", "left")
+    clean = rows.join(F.broadcast(ids), "id", "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    return clean.unionByName(rows.join(F.broadcast(ids), "id", "left_semi").join(spans, "id"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
