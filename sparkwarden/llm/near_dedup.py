@@ -14,8 +14,9 @@ documents are linked if ``100 * |intersection| >= 85 * |union|``.
 * In a band's bucket all members are compared with the bucket's smallest
   member.  That settles a bucket of copies with one comparison a member.  Only
   buckets that then still hold several components compare members of different
-  components: small ones by a join, large ones in blocks of bounded size, where
-  signatures are compared first.
+  components, in pairs of blocks of bounded size: a matrix product of the
+  blocks' sets counts all intersections, and what leaves a task is one edge for
+  each two components it found linked, never pairs of documents.
 * Links are confirmed on the full sets (64-bit shingle hashes).
 * Components by alternating stars.
 
@@ -42,10 +43,12 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 POSITIONS = BANDS * ROWS
 PERCENT = 85
-#: Signature agreement (of 120) below which a pair of a large bucket is not verified:
-#: 4.6 standard deviations under 0.85.
-LEAST_AGREEMENT = 84
-SMALL_BUCKET, BLOCK = 64, 512
+#: Documents of a bucket that one task compares with as many others.
+BLOCK = 512
+#: Columns of a block's set matrix at a time.
+_COLUMNS = 4096
+#: Up to so many ids (8 bytes each) are broadcast to the scan of the texts.
+BROADCAST_ROWS = 1_000_000
 _BYTES = 2_000_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -142,7 +145,7 @@ def sub_batches(texts: list, limit: int = _BYTES) -> Iterator[tuple[int, int]]:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n, d1, d2 (digest of the set), bands and a 16-bit form of the signature."""
+    """id, n, d1, d2 (digest of the set) and bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,12 +158,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     np.cumsum(mix64(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=sums[0][1:])
                     np.cumsum(mix64(elements + np.uint64(0x5851F42D4C957F2D)), out=sums[1][1:])
                     d1, d2 = [(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums]
-                low = (mix64(sig) & np.uint64(0xFFFF)).astype(np.uint16)
-                n = np.diff(bounds)
-                yield pd.DataFrame({"id": ids.iloc[a:b].to_numpy(), "n": n, "d1": d1, "d2": d2, "bands": list(bands_of(sig)), "sig": [s.tobytes() for s in low]})
+                yield pd.DataFrame({"id": ids.iloc[a:b].to_numpy(), "n": np.diff(bounds), "d1": d1, "d2": d2, "bands": list(bands_of(sig))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, n long, d1 long, d2 long, bands array<long>, sig binary")
+    return rows.mapInPandas(run, "id long, n long, d1 long, d2 long, bands array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -190,32 +191,50 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components within large buckets, compared block by block.
-
-    ``members`` has key, id, n, c, sig and k, the bucket's count.  Each row goes
-    to the pairs of blocks it is part of; a task holds two blocks at a time.
+def block_links(elements: list[np.ndarray], left: np.ndarray, right: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Pairs of components, once each, with a linked pair of a left and a right set."""
+    n = np.array([len(e) for e in elements])
+    owner = np.repeat(np.arange(len(elements)), n)
+    _, column, count = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    # An element of one set only is in no intersection.
+    shared = count[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    width = int(column.max(initial=-1)) + 1
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for start in range(0, width, _COLUMNS):
+        a, b = np.searchsorted(column, [start, start + _COLUMNS])
+        table = np.zeros((len(elements), min(_COLUMNS, width - start)), dtype=np.float32)
+        table[owner[a:b], column[a:b] - start] = 1
+        common += table[left] @ table[right].T
+    common = np.rint(common).astype(np.int64)
+    linked = (100 * common >= PERCENT * (n[left][:, None] + n[right][None, :] - common)) & (component[left][:, None] != component[right][None, :])
+    x, y = np.nonzero(linked)
+    ends = np.stack([component[left[x]], component[right[y]]], axis=1)
+    return np.unique(np.sort(ends, axis=1), axis=0)
+
+
+def _block_edges(members: DataFrame) -> DataFrame:
+    """Edges (a, b) between components within buckets, compared block by block.
+
+    ``members`` has key, id, c, elements and k, the bucket's count.  Each row
+    goes to the pairs of blocks it is part of; a task holds two blocks at a time.
     """
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "c", "sig")
+    spread = spread.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "c", "elements")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint16).reshape(len(group), POSITIONS)
-        ids, n, c, own = (group[x].to_numpy() for x in ("id", "n", "c", "own"))
+        c, own = group["c"].to_numpy(), group["own"].to_numpy()
         lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        found = []
-        for i in left:
-            with_ = right[right > i] if lo == hi else right
-            with_ = with_[(c[with_] != c[i]) & (100 * np.minimum(n[with_], n[i]) >= PERCENT * np.maximum(n[with_], n[i]))]
-            near = with_[(sig[with_] == sig[i]).sum(axis=1) >= LEAST_AGREEMENT]
-            found.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])], axis=1))
-        out = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame(out, columns=["a", "b"])
+        found = np.zeros((0, 2), dtype=np.int64)
+        if (c != c[0]).any():
+            found = block_links(group["elements"].tolist(), np.flatnonzero(own == lo), np.flatnonzero(own == hi), c)
+        return pd.DataFrame(found, columns=["a", "b"])
 
-    return spread.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
+    return spread.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,33 +247,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = reps.select("id", "n", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "n")).alias("m")).where("k > 1")
     multi = stored(keys.join(buckets, "key").select("key", "k", "id", "n", F.col("m.id").alias("low"), F.col("m.n").alias("low_n")), "buckets")
-    need = multi.select("id").distinct()
+    need = stored(multi.select("id").distinct(), "need")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = stored(sets_of(texts.join(need, "id", "left_semi")), "sets")
+    few = need.count() <= BROADCAST_ROWS
+    sets = stored(sets_of(texts.join(F.broadcast(need) if few else need, "id", "left_semi")), "sets")
     stars = multi.where("id <> low").where(_size_fits("n", "low_n")).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     first = components(member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).unionByName(_verified(stars, sets)))
 
-    # Buckets that hold several components yet: compare across components, not with the star's middle again.
+    # Buckets that hold several components yet: compare across components.
     placed = multi.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-    rest = stored(placed.join(mixed, "key").where("k > 2").select("key", "k", "id", "n", "c", "low"), "residual")
-    small = rest.where(F.col("k") <= SMALL_BUCKET)
-    other = small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    ahead = small.where("id <> low").join(other, "key").where("id < b and c <> cb").where(_size_fits("n", "nb"))
-    pairs = ahead.select(F.col("id").alias("a"), "b")
-    large = rest.where(F.col("k") > SMALL_BUCKET)
-    if not large.isEmpty():
-        with_sig = large.join(reps.select("id", "sig").dropDuplicates(["id"]), "id")
-        pairs = pairs.unionByName(_block_pairs(with_sig))
-    links = stored(_verified(pairs.distinct(), sets), "links")
+    rest = placed.where("k > 2").join(mixed, "key").select("key", "k", "id", "c")
+    links = stored(_block_edges(rest.join(sets.select("id", "elements"), "id")), "links")
     final = first
     if not links.isEmpty():
-        label = first.select("node", "component")
-        at = links.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        second = components(at.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        # Nodes of the second round are components of the first, or nodes that had no link before.
-        joined = label.join(second.select(F.col("node").alias("component"), F.col("component").alias("low")), "component", "left")
-        fresh = second.join(label, "node", "left_anti")
+        second = components(links)
+        # Ends of these edges are components of the first round, or documents that had no link before.
+        joined = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("low")), "component", "left")
+        fresh = second.join(first, "node", "left_anti")
         final = joined.select("node", F.coalesce("low", "component").alias("component")).unionByName(fresh)
     found = sig.select("id", "n").join(final.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")
