@@ -119,8 +119,44 @@ def required_literals(pattern: str) -> set[str] | None:
         return None
 
 
-def prefilter(text: Column, patterns: list[str]) -> Column:
-    """A condition true wherever one of the patterns can match.
+def trie_regex(words: list[str]) -> str:
+    """An alternation of words that share beginnings, so that few branches are tried at a place."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def render(node: dict) -> str:
+        # A word that ends here settles the match; longer ones add nothing.
+        if "" in node:
+            return ""
+        parts = [re.escape(c) + render(node[c]) for c in sorted(node)]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return render(tree)
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with the long s as s: what case-insensitive literals are looked for in."""
+    return F.replace(F.lower(text), F.lit("\u017f"), F.lit("s"))
+
+
+def possible(low: Column, pattern: str, most: int = 8) -> Column | None:
+    """A cheap condition on a folded text without which the pattern can't match; None if there is none."""
+    found = required_literals(pattern)
+    if not found or len(found) > most:
+        return None
+    out = None
+    for x in sorted(found):
+        one = F.contains(low, F.lit(x))
+        out = one if out is None else out | one
+    return out
+
+
+def prefilter(low: Column, text: Column, patterns: list[str]) -> Column:
+    """A condition true wherever one of the patterns can match; ``low`` is the folded text.
 
     One pass for all literals: far cheaper than the patterns, and few lines of a
     corpus have any of them.  Patterns without a literal stand for themselves.
@@ -129,8 +165,6 @@ def prefilter(text: Column, patterns: list[str]) -> Column:
     literals = sorted(set().union(*(x for x in found.values() if x)))
     # A literal that contains another one adds nothing.
     kept = [x for x in literals if not any(y != x and y in x for y in literals)]
-    # Case folding beyond ASCII: the two letters with a non-ASCII upper or lower form.
-    folded = [re.escape(x).replace("k", "[k\u212a]").replace("s", "[s\u017f]") for x in kept]
-    out = F.lower(text).rlike("|".join(folded)) if folded else F.lit(False)
+    out = low.rlike(trie_regex(kept)) if kept else F.lit(False)
     bare = [p for p, x in found.items() if not x]
     return out | text.rlike(java(any_of(bare))) if bare else out

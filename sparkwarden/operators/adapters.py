@@ -73,7 +73,7 @@ ADAPTERS = {
         Adapter("checkstyle", "text", line_pattern=r'<error line="(\d+)"(?: column="(\d+)")? severity="(\w+)" message="([^"]*)" source="([^"]*)"', line=1, column=2, level=3, message=4, rule=5, severity=_EWI, default=M),
         Adapter("tsc", "text", line_pattern=r"^[^(\n]+\((\d+),(\d+)\): (\w+) (TS\d+): (.*)$", line=1, column=2, level=3, rule=4, message=5, severity=(("error", H), ("warning", M)), default=L),
         Adapter("scalastyle", "text", line_pattern=r'<error(?: column="(\d+)")? line="(\d+)" source="([^"]*)" severity="(\w+)" message="([^"]*)"', column=1, line=2, rule=3, level=4, message=5, severity=_EWI, default=M),
-        Adapter("perlcritic", "text", line_pattern=r"^(\d):[^:\n]*:(\d+):(\d+):([^:]*):(.*)$", level=1, line=2, column=3, rule=4, message=5, severity=(("5", C), ("4", H), ("3", M), ("2", L)), default=I),
+        Adapter("perlcritic", "text", line_pattern=r"^(\d):[^:\n]*:(\d+):(\d+):((?:\w|::)+):(.*)$", level=1, line=2, column=3, rule=4, message=5, severity=(("5", C), ("4", H), ("3", M), ("2", L)), default=I),
         Adapter("pwsh", "json", ("$",), "$.Line", "$.Column", "$.RuleName", "$.Message", "$.Severity", (("Error", H), ("Warning", M), ("Information", L)), M),
         Adapter("Rscript", "json", ("$",), "$.line_number", "$.column_number", "$.linter", "$.message", "$.type", (("error", H), ("warning", M), ("style", L)), M),
         Adapter("ansible-lint", "json", ("$",), "$.location.lines.begin", None, "$.check_name", "$.description", "$.severity", (("VERY_HIGH", C), ("HIGH", H), ("MEDIUM", M), ("LOW", L), ("VERY_LOW", I), ("INFO", I)), M),

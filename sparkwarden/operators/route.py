@@ -143,7 +143,8 @@ def confidence(scanner: Scanner) -> Column:
         is_it = low.isin(*files) | in_dir | _any_word(low, words)
         return F.when(is_it, _pick((low.isin(*files), 90), (parent.isin(*dirs), 85), (_any_word(low, strong), at), otherwise=50)).otherwise(0)
     if n == "deps":
-        return _pick((low == "package.json", 85), (low.isin(*LOCK_FILES), 95), (by_extension, 30))
+        named = content.rlike("\"(next|react|react-server-dom-(webpack|parcel|turbopack))\"")
+        return _pick(((low == "package.json") & named, 95), (low == "package.json", 30), (low.isin(*LOCK_FILES), 85))
     return F.when(by_extension, 20).otherwise(0)
 
 

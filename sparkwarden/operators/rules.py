@@ -18,6 +18,7 @@ their severity where ``softened`` is given.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -25,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regex
-from ..model import ISSUE_FIELDS, LETTERS, issue, to_findings
+from ..model import LETTERS, issue, to_findings
 
 LINE_MODES = ("line_first", "line_all")
 MODES = (*LINE_MODES, "doc_first", "doc_all", "first_of_list", "absent")
-#: Texts up to this many characters are matched whole; nested repeats make no more sense beyond.
+#: A line that is a comment.
 COMMENT = r"^\s*(//|#)"
 
 
@@ -111,49 +112,81 @@ def group(rule_id: str, mode: str, patterns=(), cwe: int | None = None, severity
     return Group(rule_id, mode, tuple(out), cwe, sev, **kw)
 
 
-def _one(family: str, g: Group, p: Pattern, line, column=None, code=None, severity: Column | None = None) -> Column:
-    sev = severity if severity is not None else F.lit(g.severity or p.severity)
-    return issue(family, p.rule_id or g.rule_id, sev, g.message or p.label, line, column, code, g.cwe)
+_HIT = "struct<n:int,line:int,code:string,soft:boolean>"
+_META = "array<struct<rule_id:string,severity:string,softer:string,message:string,cwe_id:int>>"
+_SOFTER = {"CRITICAL": "HIGH", "HIGH": "MEDIUM", "MEDIUM": "LOW"}
 
 
-def _nothing() -> Column:
-    return F.lit(None).cast("struct<" + ",".join(f"{f}:{'int' if f in ('line', 'column', 'cwe_id') else 'string'}" for f in ISSUE_FIELDS) + ">")
+class _Compiled:
+    """Hits as small structs that point into a literal table of rules.
+
+    The table is one constant; expressions hold a pattern and a number each,
+    which keeps plans of hundreds of patterns small.
+    """
+
+    def __init__(self, family: Family) -> None:
+        self.family = family
+        self.table: list[dict] = []
+
+    def number(self, g: Group, p: Pattern | None = None) -> int:
+        severity = g.severity or (p.severity if p else "MEDIUM")
+        self.table.append({"rule_id": (p and p.rule_id) or g.rule_id, "severity": severity, "softer": _SOFTER.get(severity, severity), "message": g.message or (p.label if p else ""), "cwe_id": g.cwe})
+        return len(self.table) - 1
+
+    def issues(self, hits: Column) -> Column:
+        """array<issue> of an array of hits."""
+        meta = F.from_json(F.lit(json.dumps(self.table)), _META)
+
+        def full(h: Column) -> Column:
+            m = F.get(meta, h["n"])
+            severity = F.when(h["soft"], m["softer"]).otherwise(m["severity"])
+            return issue(self.family.name, m["rule_id"], severity, m["message"], h["line"], None, h["code"]).withField("cwe_id", m["cwe_id"])
+
+        return F.transform(hits, full)
 
 
-def _softened(g: Group, p: Pattern, controlled: Column | None) -> Column:
-    """Severity one rank lower where a control is present, CRITICAL excepted only by its own rank."""
-    base = g.severity or p.severity
-    if not g.softened or controlled is None:
-        return F.lit(base)
-    lower = {"CRITICAL": "HIGH", "HIGH": "MEDIUM", "MEDIUM": "LOW"}.get(base, base)
-    return F.when(controlled, lower).otherwise(base)
+def _hit(n, line, code=None, soft=None) -> Column:
+    none = F.lit(None)
+    parts = (n if isinstance(n, Column) else F.lit(n), line if isinstance(line, Column) else F.lit(line), code if code is not None else none, soft if soft is not None else F.lit(False))
+    return F.struct(*parts).cast(_HIT)
 
 
-def line_issues(family: Family, line: Column, line_no: Column) -> Column:
-    """array<issue> of a line, from the family's line groups."""
-    parts = []
+def _tested(g: Group, p: Pattern, text: Column, low: Column) -> Column:
+    """Whether a pattern matches; its literals are looked for first."""
+    hit = text.rlike(g.java(p.regex))
+    cheap = regex.possible(low, p.regex)
+    return hit if cheap is None else cheap & hit
+
+
+def line_issues(family: Family, line: Column, low: Column, line_no: Column) -> Column | None:
+    """array<issue> of a line (``low``: folded), from the family's line groups."""
+    compiled, codes = _Compiled(family), []
     for g in family.groups:
         if g.mode not in LINE_MODES:
             continue
-        guard = F.lit(True)
+        guard = None
         if g.skip_comments:
-            guard = guard & ~line.rlike(COMMENT)
+            guard = ~line.rlike(COMMENT)
         if g.and_line:
-            guard = guard & line.rlike(g.java(g.and_line))
-        code = F.substring(F.trim(line), 1, 100)
+            more = line.rlike(g.java(g.and_line))
+            guard = more if guard is None else guard & more
+        numbered = [(_tested(g, p, line, low), compiled.number(g, p)) for p in g.patterns]
         if g.mode == "line_first":
-            chain = _nothing()
-            for p in reversed(g.patterns):
-                chain = F.when(line.rlike(g.java(p.regex)), _one(family.name, g, p, line_no, code=code)).otherwise(chain)
-            parts.append(F.when(guard, chain).otherwise(_nothing()))
+            chain = F.when(numbered[0][0], numbered[0][1])
+            for cond, n in numbered[1:]:
+                chain = chain.when(cond, n)
+            codes.append(chain if guard is None else F.when(guard, chain))
         else:
-            parts += [F.when(guard & line.rlike(g.java(p.regex)), _one(family.name, g, p, line_no, code=code)).otherwise(_nothing()) for p in g.patterns]
-    return F.filter(F.array(*parts), lambda i: i.isNotNull()) if parts else None
+            codes += [F.when(cond if guard is None else guard & cond, n) for cond, n in numbered]
+    if not codes:
+        return None
+    code = F.substring(F.trim(line), 1, 100)
+    return compiled.issues(F.transform(F.array_compact(F.array(*codes)), lambda n: _hit(n, line_no, code)))
 
 
 def doc_issues(family: Family, content: Column) -> Column | None:
     """array<issue> of a whole text, from the family's other groups."""
-    parts: list[Column] = []
+    compiled, single, several = _Compiled(family), [], []
     for g in family.groups:
         if g.mode in LINE_MODES:
             continue
@@ -165,39 +198,45 @@ def doc_issues(family: Family, content: Column) -> Column | None:
             guard = guard & content.rlike(g.java(regex.any_of(list(g.present))))
         for p in g.present_all:
             guard = guard & content.rlike(g.java(p))
+        soft = controlled if g.softened else None
         if g.mode == "absent":
-            parts.append(F.array(F.when(guard, issue(family.name, g.rule_id, g.severity, g.message, 1, cwe=g.cwe)).otherwise(_nothing())))
+            single.append(F.when(guard, _hit(compiled.number(g), 1)))
         elif g.mode == "first_of_list":
-            chain = _nothing()
-            for p in reversed(g.patterns):
-                pattern = g.java(p.regex)
-                chain = F.when(content.rlike(pattern), _one(family.name, g, p, regex.first_line_of(content, pattern))).otherwise(chain)
-            parts.append(F.array(F.when(guard, chain).otherwise(_nothing())))
+            first, *rest = [(content.rlike(g.java(p.regex)), _hit(compiled.number(g, p), regex.first_line_of(content, g.java(p.regex)))) for p in g.patterns]
+            chain = F.when(*first)
+            for cond, hit in rest:
+                chain = chain.when(cond, hit)
+            single.append(F.when(guard, chain))
         elif g.mode == "doc_first":
             for p in g.patterns:
                 pattern = g.java(p.regex)
-                hit = _one(family.name, g, p, regex.first_line_of(content, pattern), severity=_softened(g, p, controlled))
-                parts.append(F.array(F.when(guard & content.rlike(pattern), hit).otherwise(_nothing())))
+                single.append(F.when(guard & content.rlike(pattern), _hit(compiled.number(g, p), regex.first_line_of(content, pattern), None, soft)))
         else:
-            parts += [_every_match(family, g, p, content, guard, controlled) for p in g.patterns]
+            several += [_every_match(g, p, compiled.number(g, p), content, guard, soft) for p in g.patterns]
+    arrays = []
+    if single:
+        arrays.append(F.array_compact(F.array(*single)))
+    if several:
+        arrays.append(F.flatten(F.array_compact(F.array(*several))))
+    out = []
+    if arrays:
+        out.append(compiled.issues(F.concat(*arrays)))
     if family.extra is not None:
-        parts += family.extra(content)
-    if not parts:
+        out += family.extra(content)
+    if not out:
         return None
-    joined = F.flatten(F.filter(F.array(*parts), lambda a: a.isNotNull()))
-    return F.filter(joined, lambda i: i.isNotNull())
+    return F.filter(F.flatten(F.array_compact(F.array(*out))), lambda i: i.isNotNull())
 
 
-def _every_match(family: Family, g: Group, p: Pattern, content: Column, guard: Column, controlled: Column | None) -> Column:
-    """array<issue> of all matches of one pattern, or null."""
+def _every_match(g: Group, p: Pattern, n: int, content: Column, guard: Column, soft: Column | None) -> Column:
+    """array<hit> of all matches of one pattern, or null."""
     pattern = g.java(p.regex)
     found = regex.matches(content, pattern)
     if g.not_near:
         before, after = g.near
         near = g.java(g.not_near)
         found = F.filter(found, lambda m: ~F.substring(content, F.greatest(m["start"] - before + 1, F.lit(1)), F.length(m["text"]) + before + after).rlike(near))
-    severity = _softened(g, p, controlled)
-    hits = F.transform(found, lambda m: _one(family.name, g, p, regex.line_at(content, m["start"]), code=F.substring(m["text"], 1, 100), severity=severity))
+    hits = F.transform(found, lambda m: _hit(n, regex.line_at(content, m["start"]), F.substring(m["text"], 1, 100), soft))
     return F.when(guard & content.rlike(pattern), hits)
 
 
@@ -236,15 +275,15 @@ def evaluate(docs: DataFrame, families: list[Family], applies: Column | None = N
         gates = [f for f in with_lines if f.gated(F.col("content")) is not None]
         flags = F.array_compact(F.array(*[F.when(f.gated(F.col("content")), F.lit(f.name)) for f in gates])).alias("open")
         lines = lines_of(rows.select("*", *([flags] if gates else [])), *base, *(["scanners"] if applies is not None else []), *(["open"] if gates else []))
-        condition = regex.prefilter(F.col("line"), line_patterns(with_lines)) if use_prefilter else None
-        if condition is not None:
-            lines = lines.where(condition)
+        lines = lines.withColumn("low", regex.folded(F.col("line")))
+        if use_prefilter:
+            lines = lines.where(regex.prefilter(F.col("low"), F.col("line"), line_patterns(with_lines)))
         arrays = []
         for f in with_lines:
             cond = F.array_contains("open", f.name) if f in gates else F.lit(True)
             if applies is not None:
                 cond = cond & F.array_contains("scanners", f.name)
-            arrays.append(F.when(cond, line_issues(f, F.col("line"), F.col("line_no"))))
+            arrays.append(F.when(cond, line_issues(f, F.col("line"), F.col("low"), F.col("line_no"))))
         issues = F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))
         found.append(lines.select(*base, F.explode(issues).alias("issue")))
     out = found[0]

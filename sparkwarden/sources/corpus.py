@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,20 +35,49 @@ def with_names(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"name": name, "parent": parent, "suffix": F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)})
 
 
-def docs_from_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, exclude_paths: tuple[str, ...] = EXCLUDED_PATHS, exclude_files: tuple[str, ...] = EXCLUDED_FILES, legacy_exclude: bool = False) -> DataFrame:
+def _opened(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(root if "://" in root else Path(root).resolve().as_uri())
+
+
+def file_list(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, mtime) of all files under a folder, hidden ones included, or of one file.
+
+    Spark's own file sources leave out names that begin with a dot, which is
+    what settings files are called.
+    """
+    system, base = _opened(root)
+    info = system.get_file_info(base)
+    found = [info] if info.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]
+    top = base.rpartition("/")[0] if info.type == fs.FileType.File else base
+    rows = [(f.path[len(top) :].lstrip("/"), f.size, f.mtime) for f in found]
+    return spark.createDataFrame(rows, "path string, size long, mtime timestamp")
+
+
+def docs_from_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, exclude_paths: tuple[str, ...] = EXCLUDED_PATHS, exclude_files: tuple[str, ...] = EXCLUDED_FILES, legacy_exclude: bool = False, partitions: int | None = None) -> DataFrame:
     """Files under ``root`` (or one file) as docs.
 
-    Names and exclusions are decided on metadata; only what is left has its
-    content read as text (bad bytes replaced, line ends made ``\\n``).
+    Names, exclusions and virtual environments are decided on the list; only
+    what is left is opened, on the executors (bad bytes replaced, line ends made
+    ``\\n``).
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    base = root.rstrip("/")
-    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + _quoted(base.split("://")[-1] if "://" in base else base) + "/?", "")
-    rows = reader.load(root).withColumn("path", F.when(relative == "", F.element_at(F.split("path", "/"), -1)).otherwise(relative))
-    rows = with_names(rows.withColumnsRenamed({"length": "size", "modificationTime": "mtime"}))
-    rows = rows.where(scannable(extensions)).where(~excluded(F.col("path"), exclude_paths, exclude_files, legacy_exclude))
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n")
-    return rows.select(F.col("path").alias("doc_id"), "path", "name", "parent", "suffix", "size", "mtime", text.alias("content"))
+    every = file_list(spark, root)
+    rows = with_names(every).where(scannable(extensions)).where(~excluded(F.col("path"), exclude_paths, exclude_files, legacy_exclude))
+    rows = without_virtualenvs(rows, every).select("path", "name", "parent", "suffix", "size", "mtime")
+    _, base = _opened(root)
+    one = _opened(root)[0].get_file_info(base).type == fs.FileType.File
+    top = base.rpartition("/")[0] if one else base
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, _ = _opened(root)
+        for batch in batches:
+            texts = []
+            for path in batch["path"]:
+                with system.open_input_stream(f"{top}/{path}") as f:
+                    texts.append(f.read().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"))
+            yield batch.assign(content=texts, doc_id=batch["path"])[["doc_id", "path", "name", "parent", "suffix", "size", "mtime", "content"]]
+
+    dealt = rows.repartition(partitions or spark.sparkContext.defaultParallelism, "path")
+    return dealt.mapInPandas(read, "doc_id string, path string, name string, parent string, suffix string, size long, mtime timestamp, content string")
 
 
 def docs_from_table(df: DataFrame, id_col: str, text_col: str, path: Column | None = None) -> DataFrame:
@@ -57,10 +88,6 @@ def docs_from_table(df: DataFrame, id_col: str, text_col: str, path: Column | No
     return rows.select("doc_id", "path", "name", "parent", "suffix", "size", "mtime", "content")
 
 
-def _quoted(s: str) -> str:
-    return "\\Q" + s.replace("\\E", "") + "\\E"
-
-
 def scannable(extensions: tuple[str, ...] = EXTENSIONS) -> Column:
     """Whether a row (path, name, parent, suffix) belongs to a corpus of files."""
     low = F.lower("name")
