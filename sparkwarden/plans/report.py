@@ -91,7 +91,7 @@ def report(findings: DataFrame, files_scanned: int = 0, lines_scanned: int = 0,
     listed = findings.agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), row.alias("f")))), lambda x: x["f"]).alias("findings"))
     summary = security_score(findings).select(F.struct("total_issues", F.lit(files_scanned).alias("files_scanned"), F.lit(lines_scanned).alias("lines_scanned"), "security_score", "risk_level").alias("scan_summary"))
     breakdown = severity_breakdown(findings).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "findings")))).alias("severity_breakdown"))
-    groups = counts_by(findings).groupBy("dimension").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "findings")))).alias("m")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "m")))).alias("aggregations"))
+    groups = counts_by(findings).groupBy("dimension").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "findings")))).alias("m")).agg(F.map_from_entries(F.collect_list(F.struct("dimension", "m"))).alias("aggregations"))
     stamp = F.lit(timestamp) if timestamp else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
     head = spark.range(1).select(stamp.alias("timestamp"), F.lit(version).alias("version"))
     return head.crossJoin(summary).crossJoin(breakdown).crossJoin(listed).crossJoin(groups)
