@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join, in DataFrame code only.
 
-A line's tokens are its distinct five-word shingles (A-Z lower-cased; a line of
+A line's tokens are its distinct five-word shingles (lower-cased; a line of
 fewer words is one token; a blank line has none and is never removed).  Lines
 are alike at Jaccard 0.8 or more.  A line is removed if an earlier line (smaller
 id, or the same id and an earlier line number) is alike, kept or not.
@@ -36,13 +36,14 @@ NUM, DEN = 8, 10
 _BUCKETS = 1 << 16
 #: Up to so many candidate lines (16 bytes each) are broadcast to the scan of the texts.
 BROADCAST_ROWS = 1_000_000
-_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\x0c\r"
-_TO = "abcdefghijklmnopqrstuvwxyz    "
 
 
 def tokens(line: Column) -> Column:
     """Hashes of the line's shingles, repeats included."""
-    words = F.filter(F.split(F.translate(line, _FROM, _TO), " "), lambda w: w != "")
+    plain = F.lower(line)
+    for blank in "\t\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    words = F.array_remove(F.split(plain, " "), "")
     # A one-entry array names the words, so that they are made once.
     return F.flatten(F.transform(F.array(words), _shingles))
 
@@ -80,6 +81,11 @@ def ordered_set(line: Column, ranks: Column) -> Column:
     return F.sort_array(F.array_distinct(longs))
 
 
+def _bit(t: Column) -> Column:
+    """One of 64 bits for a token."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+
+
 def _least_overlap(n: Column, num: int, den: int) -> Column:
     """ceil(n * num / den) in integers."""
     return ((n * num + (den - 1)) / den).cast("long")
@@ -87,20 +93,22 @@ def _least_overlap(n: Column, num: int, den: int) -> Column:
 
 def _classes(lines: DataFrame) -> DataFrame:
     """(d1, d2, n, prefix, first) of each distinct token set; first is (id, at)."""
-    return lines.groupBy("d1", "d2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct("id", "at")).alias("first"))
+    return lines.groupBy("d1", "d2").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.min(F.struct("id", "at")).alias("first"))
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
     """Pairs of first places (x, y) of classes that the filters leave."""
-    posts = classes.select("first", "n", F.posexplode("prefix").alias("p", "token"))
+    posts = classes.select("first", "n", "bits", F.posexplode("prefix").alias("p", "token"))
     # n and the place in the prefix share a long.
-    posts = posts.select("token", "first.id", "first.at", (F.col("n").cast("long") * (1 << 24) + F.col("p")).alias("np"))
+    posts = posts.select("token", "first.id", "first.at", "bits", (F.col("n").cast("long") * (1 << 24) + F.col("p")).alias("np"))
     n, p = F.shiftright("np", 24), F.col("np").bitwiseAND(F.lit((1 << 24) - 1))
-    x = posts.where(p <= n - _least_overlap(n, 2 * NUM, NUM + DEN)).select("token", F.col("id").alias("x"), F.col("at").alias("x_at"), n.alias("nx"), p.alias("px"))
-    y = posts.select("token", F.col("id").alias("y"), F.col("at").alias("y_at"), n.alias("ny"), p.alias("py"))
+    x = posts.where(p <= n - _least_overlap(n, 2 * NUM, NUM + DEN)).select("token", F.col("id").alias("x"), F.col("at").alias("x_at"), F.col("bits").alias("bx"), n.alias("nx"), p.alias("px"))
+    y = posts.select("token", F.col("id").alias("y"), F.col("at").alias("y_at"), F.col("bits").alias("by"), n.alias("ny"), p.alias("py"))
     left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & ((F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("x_at") < F.col("y_at")))))
     fits = (F.col("nx") * DEN >= F.col("ny") * NUM) & (left * (NUM + DEN) >= (F.col("nx") + F.col("ny")) * NUM)
+    # Jaccard is 8/10 or more if the sets differ in a ninth of their sizes' sum or less.
+    fits = fits & (F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) * (NUM + DEN) <= (F.col("nx") + F.col("ny")) * (DEN - NUM))
     return x.join(y, "token").where(smaller & fits).select("x", "x_at", "y", "y_at").distinct()
 
 
@@ -128,8 +136,8 @@ def flags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     sets = lines.select("id", "at", ordered_set(F.col("line"), ranks).alias("set"))
     n = F.size("set")
     prefix = F.slice("set", F.lit(1), (n - _least_overlap(n, NUM, DEN) + 1).cast("int"))
-    # Without tokens there is nothing to compare; such lines only count.
-    digests = sets.select("id", "at", F.xxhash64("set").alias("d1"), F.hash("set").alias("d2"), n.alias("n"), prefix.alias("prefix"))
+    parity = F.aggregate("set", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(_bit(t)))
+    digests = sets.select("id", "at", F.xxhash64("set").alias("d1"), F.hash("set").alias("d2"), n.alias("n"), parity.alias("bits"), prefix.alias("prefix"))
     kept = stored(digests, "lines")
     full = kept.where("n > 0")
     near = _alike(lines, _candidates(_classes(full)), ranks)
@@ -151,10 +159,17 @@ def _kept_lines(text: Column, gone: Column) -> Column:
 
 
 def _with_flags(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` as struct line_doc with the removed line numbers (null: none)."""
+    """``docs`` as struct line_doc with the removed line numbers (null: none).
+
+    Texts that lose nothing stay where they are if the ids of the others are few.
+    """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("line_doc"), F.col(id_col).cast("long").alias("line_id"))
-    found = flags(docs, id_col, text_col)
-    return whole.join(found, F.col("line_id") == F.col("id"), "left")
+    found = stored(flags(docs, id_col, text_col).withColumnRenamed("id", "line_id"), "line-flags")
+    ids = found.select("line_id")
+    if ids.count() > BROADCAST_ROWS:
+        return whole.join(found, "line_id", "left")
+    clean = whole.join(F.broadcast(ids), "line_id", "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
+    return clean.unionByName(whole.join(F.broadcast(ids), "line_id", "left_semi").join(found, "line_id"))
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

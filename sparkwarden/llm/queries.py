@@ -58,7 +58,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, pos, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM l),
+w AS (SELECT doc_id, pos, line, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM l),
 g AS (SELECT doc_id, pos, line, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN ['short ' || array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
 k AS (SELECT doc_id, pos, line, len(s) AS n, CASE WHEN len(s) > 0 THEN array_to_string(list_sort(s), chr(10)) END AS key, s FROM g),
 c AS (SELECT key, row_number() OVER (ORDER BY min((doc_id, pos))) AS rep, any_value(n) AS n, any_value(s) AS s FROM k WHERE n > 0 GROUP BY key),
