@@ -112,21 +112,31 @@ def _candidates(classes: DataFrame) -> DataFrame:
     return x.join(y, "token").where(smaller & fits).select("x", "x_at", "y", "y_at").distinct()
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The later places of pairs (e, l) whose full sets are similar enough."""
+    left = sets.select(F.col("place").alias("e"), F.col("set").alias("se"))
+    right = sets.select(F.col("place").alias("l"), F.col("set").alias("sl"))
+    both = pairs.join(left, "e").join(right, "l")
+    common = F.size(F.array_intersect("se", "sl"))
+    return both.where(common * DEN >= (F.size("se") + F.size("sl") - common) * NUM).select("l").distinct()
+
+
 def _alike(lines: DataFrame, pairs: DataFrame, ranks: Column) -> DataFrame:
-    """The later place (id, at) of each pair whose full sets are similar enough."""
-    pairs = stored(pairs, "line-pairs")
-    places = pairs.select(F.col("x").alias("id"), F.col("x_at").alias("at")).union(pairs.select("y", "y_at")).distinct()
-    places = stored(places, "line-places")
+    """Places (id, at) that have an earlier alike one.
+
+    Each place is first held against its earliest candidate, which settles
+    groups of copies with one comparison a place; the other pairs are verified
+    only for places that are still left.
+    """
+    x, y = F.struct(F.col("x").alias("id"), F.col("x_at").alias("at")), F.struct(F.col("y").alias("id"), F.col("y_at").alias("at"))
+    pairs = stored(pairs.select(F.least(x, y).alias("e"), F.greatest(x, y).alias("l")), "line-pairs")
+    places = stored(pairs.select(F.explode(F.array("e", "l")).alias("p")).select("p.id", "p.at").distinct(), "line-places")
     few = places.count() <= BROADCAST_ROWS
     found = lines.join(F.broadcast(places) if few else places, ["id", "at"], "left_semi").dropDuplicates(["id", "at"])
-    sets = found.select("id", "at", ordered_set(F.col("line"), ranks).alias("set"))
-    x = sets.select(F.col("id").alias("x"), F.col("at").alias("x_at"), F.col("set").alias("sx"))
-    y = sets.select(F.col("id").alias("y"), F.col("at").alias("y_at"), F.col("set").alias("sy"))
-    both = pairs.join(x, ["x", "x_at"]).join(y, ["y", "y_at"])
-    common = F.size(F.array_intersect("sx", "sy"))
-    alike = both.where(common * DEN >= (F.size("sx") + F.size("sy") - common) * NUM)
-    later = F.greatest(F.struct(F.col("x").alias("id"), F.col("x_at").alias("at")), F.struct(F.col("y").alias("id"), F.col("y_at").alias("at")))
-    return alike.select(later.alias("later")).distinct().select("later.id", "later.at")
+    sets = stored(found.select(F.struct("id", "at").alias("place"), ordered_set(F.col("line"), ranks).alias("set")), "line-sets")
+    first = stored(_verified(pairs.groupBy("l").agg(F.min("e").alias("e")), sets), "line-first")
+    later = _verified(pairs.join(first, "l", "left_anti"), sets)
+    return first.unionByName(later).select("l.id", "l.at")
 
 
 def flags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
