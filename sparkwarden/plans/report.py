@@ -60,6 +60,19 @@ def ranked(findings: DataFrame) -> DataFrame:
     return findings.orderBy("severity_rank", "path", "seq", "family", "rule_id")
 
 
+def placed(findings: DataFrame) -> DataFrame:
+    """Findings with their place in the order of :func:`ranked`, from 1.
+
+    A range sort numbers the rows of each partition; a partition's offset is the
+    count of those before it.  No task sees more than its own range.
+    """
+    in_partition = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = ranked(findings).withColumn("_n", in_partition).withColumn("_part", F.spark_partition_id()).persist()
+    before = F.sum("count").over(Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.groupBy("_part").count().select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_before") + F.col("_n") + 1).drop("_n", "_part", "_before")
+
+
 def top(findings: DataFrame, key: str, n: int = 10) -> DataFrame:
     """The n most frequent values of a column."""
     return findings.groupBy(key).agg(F.count(F.lit(1)).alias("findings")).orderBy(F.desc("findings"), key).limit(n)

@@ -362,6 +362,12 @@ def severity_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("event_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("severity_rank", "path", "seq", "family")).cast("long").alias("place"))
 
 
+@query(f"SELECT event_id, severity, row_number() OVER (ORDER BY {_RANK_SQL}, path, event_id, family) AS place FROM ({_EVENTS})")
+def severity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stable order of all findings, most severe first, unknown severities last."""
+    return report.placed(event_findings(spark, sf_dir)).select("event_id", "severity", "place")
+
+
 @query(f"SELECT event_id, severity FROM ({_EVENTS}) WHERE {_RANK_SQL} <= 1")
 def fail_on_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.at_least(event_findings(spark, sf_dir), "HIGH").select("event_id", "severity")
