@@ -18,6 +18,7 @@ result.  Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ _ISC_END = (
     "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
     "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
-#: Public licence texts and notices (fixed values); a caller's own list replaces them.
+#: Short public texts and notices (fixed values), those of the oracle; :func:`default_known` adds the data files.
 KNOWN = {
     "MIT": "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
     'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
@@ -73,10 +74,25 @@ EQUIVALENT = [
 #: Lines that hold only who owns the rights, and since when.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\n©(]*(?:(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9])[^\n]*|all rights reserved[^\p{L}\n]*)$"
 
+#: What follows "copyright" in prose, so that a wrapped line of it stays.
+_PROSE = r"(?!(?i:holders?|owners?|licen[sc]es?|notices?|laws?|acts?|treat\w*|statements?|interests?|and|or|in|on|is|to|of|for)\b)"
+#: Lines of owners without sign or year: a capitalised name or a placeholder after the word, or any case if it ends as owners do.
+OWNER_LINE = (
+    r"(?m)^[^\p{L}\n©(]*(?:Copyright[ \t:]+" + _PROSE + r"(?:(?:by|By)\b|(?:the|The)[ \t]+\p{Lu}|(?!The\b)\p{Lu})[^\n]*"
+    r"|(?i:copyright)[ \t:]*[\[{<][^\n]*"
+    r"|(?i:copyright)[ \t:]+" + _PROSE + r"[^\n]*\b(?i:authors?|contributors?|developers|maintainers|team|project|foundation|inc|llc|ltd|corp|corporation|company|gmbh)\b[^\p{L}\n]*)$"
+)
+
+
+def default_known() -> dict[str, str]:
+    """:data:`KNOWN` and the whole texts of the data files, by file name; a caller's own list replaces them."""
+    files = sorted((Path(__file__).parent / "licenses").glob("*.txt"))
+    return KNOWN | {f.stem: f.read_text(encoding="utf-8") for f in files}
+
 
 def canonical(text: Column) -> Column:
     """Lower-cased words between single blanks; line ends stay, for each line that is left."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    out = F.regexp_replace(F.lower(F.regexp_replace(text, OWNER_LINE, "")), COPYRIGHT_LINE, "")
     for old, new in SIGNS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
@@ -104,9 +120,9 @@ def known_digests(spark: SparkSession, known: Mapping[str, str]) -> DataFrame:
     return form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"), F.max(F.length("form")).alias("chars"))
 
 
-def scan(docs: DataFrame, known: Mapping[str, str] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: Mapping[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, license (of the whole text, or null), notices (of its lines, sorted, joined by commas, or null) of every row."""
-    found = known_digests(docs.sparkSession, known).persist()
+    found = known_digests(docs.sparkSession, default_known() if known is None else known).persist()
     longest = found.agg(F.max("chars")).first()[0] or 0
     names = F.broadcast(found.select("digest", F.col("license").alias("name")))
     rows = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("form")).withColumn("whole", _one_line(F.col("form")))
