@@ -162,6 +162,8 @@ def _plain(findings: DataFrame) -> DataFrame:
 
 
 def _family_query(name: str, family: Family, source: Callable[[SparkSession, str], DataFrame], source_sql: str) -> None:
+    from dataclasses import replace
+
     reduced = without_positions(family)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +173,14 @@ def _family_query(name: str, family: Family, source: Callable[[SparkSession, str
 
     QUERIES[name] = run
     ORACLES[name] = family_sql(reduced, f"{source_sql} UNION ALL {SNIPPET_SQL}")
+    left = replace(family, groups=tuple(g for g in family.groups if g.mode == "doc_all"), extra=None)
+    if left.groups:  # what the SQL form leaves out is a query of its own, without an oracle
+
+        def every(spark: SparkSession, sf_dir: str) -> DataFrame:
+            docs = source(spark, sf_dir).select("doc_id", "path", "content")
+            return _plain(evaluate(docs.unionByName(snippets(spark).select("doc_id", "path", "content")), [left]))
+
+        QUERIES[f"{name}_matches"] = every
 
 
 for _name, _family, _source, _sql in (
