@@ -426,6 +426,14 @@ def routing_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.array_max("options")["scanner"].alias("scanner"))
 
 
+@query()
+def routing_all_scanners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanner of highest confidence among all, those judged by name, folder or content too."""
+    scored = route.scored(_named_docs(spark, sf_dir)).where(F.size("options") > 0)
+    best = F.array_max("options")
+    return scored.select("doc_id", best["scanner"].alias("scanner"), best["confidence"].alias("confidence"))
+
+
 @query(f"SELECT {_EXT_SQL} AS suffix, count(*) AS files FROM documents GROUP BY 1")
 def file_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.census(_named_docs(spark, sf_dir))
