@@ -35,7 +35,7 @@ POISONING = [
     ("H bidirectional text override character", "[\\u202a-\\u202e\\u2066-\\u2069]"),
 ]
 #: What a tool's description is: the quoted text after the key.
-DESCRIPTION = r"description['\"]?\s*[:=]\s*(`[^`]{0,900}`|\"[^\"]{0,900}\"|'[^']{0,900}')"
+DESCRIPTION = r"description['\"]?\s*[:=]\s*(`[^`]*+`|\"[^\"]*+\"|'[^']*+')"
 #: The start of a tool definition; its region is the following 500 characters.
 TOOL = r"(server\.tool\s*\(|@(mcp|server)\.tool\b|registerTool\s*\(|addTool\s*\(|add_tool\s*\()"
 #: Words of destructive operations.
