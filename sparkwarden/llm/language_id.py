@@ -2,7 +2,7 @@
 
 Every language has a codeword; for each bit a binary linear classifier over
 hashed letter n-grams is trained (weighted ridge regression on +-1, on the
-driver, on a bounded sample).  Decoding takes the codeword with the least loss, each bit's
+driver, on a sample bounded in rows and bytes).  Decoding takes the codeword with the least loss, each bit's
 loss weighted by how well the bit's classifier did on the sample.  If the two
 nearest codewords are about equally near the row is flagged as ambiguous.
 
@@ -22,12 +22,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
 _BITS = 14
+#: Gram columns that training holds as a dense block at a time.
+_BLOCK = 1024
+#: Bytes of grams that training takes to the driver at most (6 a distinct gram of a text).
+MAX_BYTES = 64 << 20
+#: Up to so many labels (with their counts) are broadcast to the scan of the texts.
+BROADCAST_LABELS = 10_000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:0x41] = 0x20
 _FOLD[0x5B:0x61] = 0x20
@@ -86,33 +92,72 @@ def _margins(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return weights[x].sum(axis=0) / len(x)
 
 
+@dataclass
+class Grams:
+    """Share of each hashed gram in one text: gram numbers and float32 shares, as bytes."""
+
+    number: np.ndarray
+    share: np.ndarray
+
+    @classmethod
+    def of(cls, text: str) -> Grams:
+        grams = features(text)
+        number, count = np.unique(grams, return_counts=True)
+        return cls(number.astype(np.uint16), (count / len(grams)).astype(np.float32))
+
+
 def fit(texts: list[str], labels: list[str], ambiguity: float = 0.1, ridge: float = 0.02) -> Model | None:
     """Train on the given rows; rows without a letter are passed over."""
-    rows = [(t, y) for t, y in zip(texts, labels) if t is not None and y is not None and _LETTER.search(t)]
-    languages = sorted({y for _, y in rows})
+    rows = [(Grams.of(t), y) for t, y in zip(texts, labels) if t is not None and y is not None and _LETTER.search(t)]
+    return fit_grams([g for g, _ in rows], [y for _, y in rows], ambiguity, ridge)
+
+
+def fit_grams(rows: list[Grams], labels: list[str], ambiguity: float = 0.1, ridge: float = 0.02) -> Model | None:
+    """Train on the grams of each row.
+
+    Memory: the rows as given, three rows x rows matrices, and a block of
+    ``_BLOCK`` gram columns at a time.
+    """
+    languages = sorted(set(labels))
     if not languages:
         return None
     code = codewords(len(languages))
-    d, scale = 1 << _BITS, 8.0
-    x = np.zeros((len(rows), d), dtype=np.float32)
-    for i, (t, _) in enumerate(rows):
-        grams = features(t)
-        x[i] = np.bincount(grams, minlength=d) / len(grams)
+    d, scale, n = 1 << _BITS, 8.0, len(rows)
+    number = np.concatenate([g.number for g in rows])
+    share = np.concatenate([g.share for g in rows])
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(g.number) for g in rows])
+    order = np.argsort(number, kind="stable")
+    number, share, owner = number[order], share[order], owner[order]
     at = {y: i for i, y in enumerate(languages)}
-    y = np.array([at[label] for _, label in rows])
+    y = np.array([at[label] for label in labels])
     importance = (1.0 / np.bincount(y, minlength=len(languages)))[y]
     importance /= importance.mean()
     # Rare grams weigh more; then every bit is a weighted ridge regression on +-1, solved in the dual.
-    rare = 1 / np.sqrt(x.mean(axis=0) + 1e-5)
-    x *= rare
+    rare = (1 / np.sqrt(np.bincount(number, weights=share, minlength=d) / n + 1e-5)).astype(np.float32)
+    share *= rare[number]
     target = code[y]
     bias = (importance[:, None] * target).mean(axis=0)
-    kernel = (x @ x.T).astype(np.float64)
-    penalty = ridge * np.trace(kernel) / len(rows)
-    dual = np.linalg.solve(kernel + penalty * np.diag(1 / importance), target - bias)
-    weights = (x.T @ dual.astype(np.float32)) * rare[:, None]
+
+    def blocks() -> Iterator[tuple[int, np.ndarray]]:
+        for start in range(0, d, _BLOCK):
+            a, b = np.searchsorted(number, [start, start + _BLOCK])
+            block = np.zeros((n, _BLOCK), dtype=np.float32)
+            block[owner[a:b], number[a:b] - start] = share[a:b]
+            yield start, block
+
+    kernel = np.zeros((n, n))
+    for _, block in blocks():
+        kernel += block @ block.T
+    penalty = ridge * np.trace(kernel) / n
+    kernel[np.diag_indices(n)] += penalty / importance
+    inverse = np.linalg.inv(kernel)
+    del kernel
+    dual = inverse @ (target - bias)
+    weights = np.zeros((d, code.shape[1]), dtype=np.float32)
+    for start, block in blocks():
+        weights[start : start + _BLOCK] = block.T @ dual.astype(np.float32)
+    weights *= rare[:, None]
     # Left-one-out margins of a ridge regression tell how far to trust each bit.
-    inverse = np.linalg.inv(kernel + penalty * np.diag(1 / importance))
     left_out = target - dual / np.diag(inverse)[:, None]
     accuracy = ((left_out * target > 0) * importance[:, None]).mean(axis=0)
     bit_weight = np.maximum(0.05, 2 * accuracy - 1).astype(np.float32)
@@ -137,21 +182,33 @@ def predict(model: Model | None, text: str | None) -> tuple[str, str | None, flo
     return decode(model, _margins(features(text), model.weights) + model.bias)
 
 
-def sample(docs: DataFrame, per_language: int, max_rows: int, id_col: str, text_col: str, lang_col: str) -> pd.DataFrame:
-    """A bounded sample, by hash of the id, of about ``per_language`` rows a language.
+def learn(docs: DataFrame, per_language: int, max_rows: int, id_col: str, text_col: str, lang_col: str, max_bytes: int = MAX_BYTES) -> Model | None:
+    """A model fitted on a bounded sample, by hash of the id, of about ``per_language`` rows a language.
 
-    Counting the labels covers all rows; ``max_rows`` bounds what reaches the driver.
+    Counting the labels covers all rows and all labels.  Executors turn the
+    sampled texts into grams; at most ``max_rows`` rows and ``max_bytes`` of grams
+    (in the order of the hash, so that all languages thin out alike) come to the
+    driver, whatever the length of the texts.
     """
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(512).toPandas()
-    if counts.empty:
-        return pd.DataFrame({"text": [], "lang": []})
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where("lang is not null")
     span = 1 << 20
-    keep = F.lit(False)
-    for lang, n in zip(counts["lang"], counts["count"]):
-        share = min(span, math.ceil(span * per_language / n))
-        keep = keep | ((F.col("lang") == lang) & (F.pmod("h", F.lit(span)) < share))
-    return rows.where(keep).orderBy("h", "lang", "text").limit(max_rows).select("text", "lang").toPandas()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", F.least(F.lit(span), F.ceil(F.lit(span * per_language) / F.col("n"))).alias("share"))
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LABELS else counts
+    drawn = rows.where("text is not null").join(counts, "lang").where(F.pmod("h", F.lit(span)) < F.col("share"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text, lang, h in zip(batch["text"], batch["lang"], batch["h"]):
+                if _LETTER.search(text):
+                    g = Grams.of(text)
+                    yield pd.DataFrame({"h": [h], "lang": [lang], "number": [g.number.tobytes()], "share": [g.share.tobytes()]})
+
+    found = drawn.mapInPandas(run, "h long, lang string, number binary, share binary").orderBy("h", "lang", "number", "share").limit(max_rows)
+    upto = Window.orderBy("h", "lang", "number", "share").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("bytes", F.sum(F.length("number") + F.length("share")).over(upto)).where(F.col("bytes") <= max_bytes)
+    rows = found.select("lang", "number", "share").collect()
+    grams = [Grams(np.frombuffer(r["number"], dtype=np.uint16), np.frombuffer(r["share"], dtype=np.float32)) for r in rows]
+    return fit_grams(grams, [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,8 +26,7 @@ URL_RULES = [
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
-    learn = language_id.sample(docs.where(fold != 1), LID_PER_LANGUAGE, LID_MAX_ROWS, "doc_id", "text", "lang")
-    model = language_id.fit(learn["text"].tolist(), learn["lang"].tolist())
+    model = language_id.learn(docs.where(fold != 1), LID_PER_LANGUAGE, LID_MAX_ROWS, "doc_id", "text", "lang")
     found = language_id.identify(docs, model)
     return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "lang_second", "ambiguous")
 
