@@ -274,5 +274,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group: that of the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col(id_col).alias("near_id")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("near_doc"), F.col(id_col).cast("long").alias("near_id"))
+    return whole.join(gone, "near_id", "left_anti").select("near_doc.*")
