@@ -5,27 +5,41 @@ fewer words is one token; a blank line has none and is never removed).  Lines
 are alike at Jaccard 0.8 or more.  A line is removed if an earlier line (smaller
 id, or the same id and an earlier line number) is alike, kept or not.
 
-1. Tokens are counted over the corpus in a fixed number of hash buckets; the
-   rank of its bucket and 44 further bits make a token one long, so that sorting
-   a line's longs orders its tokens by rarity.
-2. Lines with equal token sets form a class with its first place.
-3. Classes meet on the tokens of their prefixes: the probing prefix on one side,
-   the shorter indexing prefix of the not larger class on the other; length and
-   positional filters bound the overlap that is left.
-4. What remains is verified on the full sets, which are made again for the first
+1. One pass over the texts makes each line's tokens and stores, of its set
+   ordered by hash, a slice a little longer than its prefix, the set's size and
+   digests, and a 64-bit bitmap.
+2. Tokens of all slices are counted in a fixed number of hash buckets; the
+   fullest sixteenth of the buckets is frequent.  Tokens are ordered by rarity:
+   the others first, by hash, then frequent ones by their bucket's count.  Where
+   too much of a slice is frequent to tell the prefix, the line's whole set is
+   made again.
+3. Lines with equal token sets form a class with its first place.
+4. Classes meet on the tokens of their prefixes, in one exchange; tokens of one
+   class only go no further.  Sets of three tokens or fewer stay out: only an
+   equal set can be alike.
+5. Each class is first held against the earliest class it shares a prefix token
+   with, which settles groups of near copies with one comparison a class.  Only
+   classes that are then left meet all earlier ones on their prefix tokens;
+   length and bitmap filters, and a positional one on the number of prefix tokens
+   in common, bound the overlap.
+6. What remains is verified on the full sets, which are made again for the first
    lines of the candidate classes only.
-5. A class goes if an alike class starts earlier; other classes keep their
+7. A class goes if an alike class starts earlier; other classes keep their
    first line.
 
 Defined results: null and empty text have no token and stay as they are; rows
-with equal ids count as one document; rows without an id keep all lines and are
-compared with nothing; an empty table gives an empty result.  Extra columns are
-kept by :func:`drop_lines`, whatever their names.
+without an id keep all lines and are compared with nothing; an empty table gives
+an empty result.  Of rows with equal ids each loses lines of its own text; their
+lines of equal number are not earlier than one another, whatever the order of
+the rows.  Extra columns are kept by :func:`drop_lines`, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -33,17 +47,26 @@ from .common import stored
 SHINGLE = 5
 #: Similarity as a fraction, 8 / 10.
 NUM, DEN = 8, 10
-_BUCKETS = 1 << 16
-#: Up to so many candidate lines (16 bytes each) are broadcast to the scan of the texts.
+_BUCKETS = 1 << 14
+#: One bucket in so many, the fullest ones, holds frequent tokens.
+_FREQUENT = 16
+#: Sets up to this size are alike to equal sets only.
+_EQUAL_ONLY = NUM // (DEN - NUM) - 1
+#: Up to so many rows of a few longs are broadcast; beyond that they are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def tokens(line: Column) -> Column:
-    """Hashes of the line's shingles, repeats included."""
-    plain = F.lower(line)
+def _plain(text: Column) -> Column:
+    """Lower-cased, with blanks in place of all space but line ends."""
+    plain = F.lower(text)
     for blank in "\t\x0b\x0c\r":
         plain = F.replace(plain, F.lit(blank), F.lit(" "))
-    words = F.array_remove(F.split(plain, " "), "")
+    return plain
+
+
+def tokens(line: Column) -> Column:
+    """Hashes of the shingles of a line from :func:`_plain` text, repeats included."""
+    words = F.array_remove(F.split(line, " "), "")
     # A one-entry array names the words, so that they are made once.
     return F.flatten(F.transform(F.array(words), _shingles))
 
@@ -54,31 +77,20 @@ def _shingles(w: Column) -> Column:
     return F.when(F.size(w) >= SHINGLE, grams).when(F.size(w) > 0, short).otherwise(F.array().cast("array<long>"))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, at, line) with line numbers from 0."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return rows.select("id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+def _lines(docs: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None) -> DataFrame:
+    """(id, row, at, line): row is a digest of the text, line numbers count from 0.
 
-
-def rarity(lines: DataFrame) -> Column:
-    """Rank of every bucket of tokens, rarest first, as a literal array.
-
-    Counts cover all lines; what reaches the driver is one number a bucket.
+    ``only`` names the ids of the documents that are looked at.
     """
-    token = lines.select(F.explode(tokens(F.col("line"))).alias("t"))
-    counts = token.groupBy(F.col("t").bitwiseAND(F.lit(_BUCKETS - 1)).cast("int").alias("b")).count().collect()
-    number = {r["b"]: r["count"] for r in counts}
-    order = sorted(range(_BUCKETS), key=lambda b: (number.get(b, 0), b))
-    rank = [0] * _BUCKETS
-    for r, b in enumerate(order):
-        rank[b] = r
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    if only is not None:
+        rows = rows.join(_light(stored(only.select("id").distinct(), "line-ids")), "id", "left_semi")
+    return rows.select("id", F.xxhash64("text").alias("row"), F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("at", "line"))
 
 
-def ordered_set(line: Column, ranks: Column) -> Column:
-    """The line's distinct tokens as longs, in order of rarity."""
-    longs = F.transform(tokens(line), lambda t: F.shiftleft(F.get(ranks, t.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")).cast("long"), 44).bitwiseOR(F.shiftrightunsigned(t, 20)))
-    return F.sort_array(F.array_distinct(longs))
+def _light(rows: DataFrame) -> DataFrame:
+    """Stored rows of a few longs, to be broadcast if there are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def _bit(t: Column) -> Column:
@@ -91,72 +103,174 @@ def _least_overlap(n: Column, num: int, den: int) -> Column:
     return ((n * num + (den - 1)) / den).cast("long")
 
 
-def _classes(lines: DataFrame) -> DataFrame:
-    """(d1, d2, n, prefix, first) of each distinct token set; first is (id, at)."""
-    return lines.groupBy("d1", "d2").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.min(F.struct("id", "at")).alias("first"))
+def _prefix_size(n: Column) -> Column:
+    return (n - _least_overlap(n, NUM, DEN) + 1).cast("int")
+
+
+def token_set(line: Column) -> Column:
+    """The line's distinct tokens in order of their hashes."""
+    return F.sort_array(F.array_distinct(tokens(line)))
+
+
+def _sliced(lines: DataFrame) -> DataFrame:
+    """(id, row, at, uid, d1, d2, n, bits, slice) of every line; uid is its own, whatever is repeated."""
+    sets = lines.select("id", "row", "at", token_set(F.col("line")).alias("set"))
+    n, near = F.size("set"), F.size("set") > _EQUAL_ONLY
+    parity = F.aggregate("set", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(_bit(t)))
+    some = F.slice("set", F.lit(1), _prefix_size(n) + F.floor(_prefix_size(n) / 4).cast("int") + 2)
+    return sets.select("id", "row", "at", F.monotonically_increasing_id().alias("uid"), F.xxhash64("set").alias("d1"), F.hash("set").alias("d2"), n.alias("n"), F.when(near, parity).alias("bits"), F.when(near, some).alias("slice"))
+
+
+def frequent(full: DataFrame) -> Column:
+    """Rank of each bucket among those of frequent tokens, the fullest last, or 0, as a literal array.
+
+    Counts cover the slices of all lines; what reaches the driver is one number a bucket.
+    """
+    token = full.select(F.explode("slice").alias("t"))
+    counts = token.groupBy(F.col("t").bitwiseAND(F.lit(_BUCKETS - 1)).cast("int").alias("b")).count().collect()
+    order = sorted(counts, key=lambda r: (-r["count"], r["b"]))
+    often = ["0"] * _BUCKETS
+    for k, r in enumerate(order[: _BUCKETS // _FREQUENT]):
+        often[r["b"]] = str(_BUCKETS // _FREQUENT - k)
+    return F.split(F.lit(",".join(often)), ",").cast("array<int>")
+
+
+def _by_rarity(tokens: Column, often: Column) -> tuple[Column, Column]:
+    """The tokens of an array that are rare and those that are frequent, each in its order."""
+
+    def rank(t: Column) -> Column:
+        return F.get(often, t.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int"))
+
+    ranked = F.transform(F.filter(tokens, lambda t: rank(t) > 0), lambda t: F.struct(rank(t).alias("r"), t.alias("t")))
+    return F.filter(tokens, lambda t: rank(t) == 0), F.transform(F.array_sort(ranked), lambda x: x["t"])
+
+
+def _prefixes(whole_lines: Callable[[DataFrame], DataFrame], reps: DataFrame, often: Column) -> DataFrame:
+    """(id, at, n, bits, prefix) of the representatives, prefixes in order of rarity.
+
+    A prefix may be null here if the line has another row with its prefix.
+    ``whole_lines`` makes the lines of the documents with the given ids.
+    """
+    size = _prefix_size(F.col("n"))
+    rare, hits = _by_rarity(F.col("slice"), often)
+    part = F.size("slice") < F.col("n")
+    again = reps.where(part & (F.size(rare) < size)).select("id", "row", "at", "n", "bits")
+    again = stored(again.dropDuplicates(["id", "row", "at"]), "line-again")
+    # The one-entry array names the rare tokens, so that they are found once.
+    prefix = F.transform(F.array(rare), lambda r: F.when(F.size(r) >= size, F.slice(r, F.lit(1), size)).when(~part, F.slice(F.concat(r, hits), F.lit(1), size)))
+    out = reps.select("id", "at", "n", "bits", F.get(prefix, 0).alias("prefix"))
+    if again.isEmpty():
+        return out
+    found = whole_lines(again).join(_light(again), ["id", "row", "at"]).distinct().withColumn("set", token_set(F.col("line")))
+    rare, hits = _by_rarity(F.col("set"), often)
+    found = found.select("id", "at", "n", "bits", F.slice(F.concat(rare, hits), F.lit(1), size).alias("prefix"))
+    return out.unionByName(stored(found, "line-prefixes"))
+
+
+def _representatives(full: DataFrame, copies: DataFrame) -> DataFrame:
+    """One line of each class that can have near copies: the first."""
+    both = full.where(F.col("n") > _EQUAL_ONLY).join(_light(copies.select("d1", "d2", "first_uid")), ["d1", "d2"], "left")
+    return both.where(F.col("first_uid").isNull() | (F.col("uid") == F.col("first_uid")))
+
+
+def _met(prefixes: DataFrame) -> DataFrame:
+    """(token, id, at, n, bits, first) of each class and prefix token that another class has in its prefix.
+
+    ``first`` is the token's earliest class, with its size and bitmap.
+    """
+    posts = prefixes.select("id", "at", "n", "bits", F.explode("prefix").alias("token"))
+    # Line number and size share a long on the way.
+    posts = posts.select("token", "id", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("an"), "bits")
+    own = Window.partitionBy("token")
+    ranked = posts.withColumns({"k": F.count(F.lit(1)).over(own), "first": F.min(F.struct("id", "an", "bits")).over(own)}).where("k > 1")
+
+    def apart(id_: str, an: str, bits: str) -> list[Column]:
+        return [F.col(id_).alias("id"), F.shiftright(an, 32).cast("int").alias("at"), F.col(an).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n"), F.col(bits).alias("bits")]
+
+    return ranked.select("token", *apart("id", "an", "bits"), F.struct(*apart("first.id", "first.an", "first.bits")).alias("first"))
+
 
+def _near(n1: Column, bits1: Column, n2: Column, bits2: Column) -> Column:
+    """Whether sizes and bitmaps allow a similarity of 8/10: the sets differ in a ninth of their sizes' sum or less."""
+    differ = F.bit_count(bits1.bitwiseXOR(bits2)) * (NUM + DEN) <= (n1 + n2) * (DEN - NUM)
+    return (F.least(n1, n2) * DEN >= F.greatest(n1, n2) * NUM) & differ
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs of first places (x, y) of classes that the filters leave."""
-    posts = classes.select("first", "n", "bits", F.posexplode("prefix").alias("p", "token"))
-    # n and the place in the prefix share a long.
-    posts = posts.select("token", "first.id", "first.at", "bits", (F.col("n").cast("long") * (1 << 24) + F.col("p")).alias("np"))
-    n, p = F.shiftright("np", 24), F.col("np").bitwiseAND(F.lit((1 << 24) - 1))
-    x = posts.where(p <= n - _least_overlap(n, 2 * NUM, NUM + DEN)).select("token", F.col("id").alias("x"), F.col("at").alias("x_at"), F.col("bits").alias("bx"), n.alias("nx"), p.alias("px"))
-    y = posts.select("token", F.col("id").alias("y"), F.col("at").alias("y_at"), F.col("bits").alias("by"), n.alias("ny"), p.alias("py"))
-    left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & ((F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("x_at") < F.col("y_at")))))
-    fits = (F.col("nx") * DEN >= F.col("ny") * NUM) & (left * (NUM + DEN) >= (F.col("nx") + F.col("ny")) * NUM)
-    # Jaccard is 8/10 or more if the sets differ in a ninth of their sizes' sum or less.
-    fits = fits & (F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) * (NUM + DEN) <= (F.col("nx") + F.col("ny")) * (DEN - NUM))
-    return x.join(y, "token").where(smaller & fits).select("x", "x_at", "y", "y_at").distinct()
+
+def _place(at: str) -> Column:
+    return F.struct(F.col(f"{at}.id").alias("id"), F.col(f"{at}.at").alias("at"))
+
+
+def _earliest_pairs(met: DataFrame) -> DataFrame:
+    """(e, l): each class's place with the earliest place it meets and may be alike to."""
+    first = F.struct(F.col("first.id").alias("id"), F.col("first.at").alias("at"))
+    own = F.struct("id", "at")
+    return met.where((first < own) & _near(F.col("n"), F.col("bits"), F.col("first.n"), F.col("first.bits"))).groupBy(own.alias("l")).agg(F.min(first).alias("e"))
+
+
+def _pairs(met: DataFrame, settled: DataFrame) -> DataFrame:
+    """(e, l): all other pairs of places that the filters leave, l not among the settled ones.
+
+    Of two prefixes, the one that ends first in the order of tokens holds all
+    common tokens up to its end; so the sets have no more in common than that
+    count and the larger rest of a set behind its prefix.
+    """
+    posts = met.drop("first")
+    e, l = posts.alias("e"), posts.join(_light(settled), ["id", "at"], "left_anti").alias("l")
+    earlier = _place("e") < _place("l")
+    ne, nl = F.col("e.n"), F.col("l.n")
+    both = e.join(l, F.col("e.token") == F.col("l.token")).where(earlier & _near(ne, F.col("e.bits"), nl, F.col("l.bits")))
+    rest = F.greatest(ne - _prefix_size(ne), nl - _prefix_size(nl))
+    counted = both.groupBy(_place("e").alias("e"), _place("l").alias("l"), (_least_overlap(ne + nl, NUM, NUM + DEN) - rest).alias("needed")).agg(F.count(F.lit(1)).alias("common"))
+    return counted.where("common >= needed").select("e", "l")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The later places of pairs (e, l) whose full sets are similar enough."""
+    """The later sets (l, d1) of pairs of places (e, l) whose full sets are similar enough."""
     left = sets.select(F.col("place").alias("e"), F.col("set").alias("se"))
-    right = sets.select(F.col("place").alias("l"), F.col("set").alias("sl"))
-    both = pairs.join(left, "e").join(right, "l")
+    right = sets.select(F.col("place").alias("l"), "d1", F.col("set").alias("sl"))
+    both = left.join(_light(pairs), "e").join(right, "l")
     common = F.size(F.array_intersect("se", "sl"))
-    return both.where(common * DEN >= (F.size("se") + F.size("sl") - common) * NUM).select("l").distinct()
+    return both.where(common * DEN >= (F.size("se") + F.size("sl") - common) * NUM).select("l", "d1").distinct()
+
 
+def _sets(whole_lines: Callable[[DataFrame], DataFrame], pairs: DataFrame) -> DataFrame:
+    """(place, set, d1) of all places of the pairs, made again from the texts."""
+    places = stored(pairs.select("e.id", "e.at").unionByName(pairs.select("l.id", "l.at")).distinct(), "line-places")
+    found = whole_lines(places).join(_light(places), ["id", "at"], "left_semi").select("id", "at", "line").distinct()
+    sets = found.select(F.struct("id", "at").alias("place"), token_set(F.col("line")).alias("set"))
+    return stored(sets.withColumn("d1", F.xxhash64("set")), "line-sets").where(F.size("set") > _EQUAL_ONLY)
 
-def _alike(lines: DataFrame, pairs: DataFrame, ranks: Column) -> DataFrame:
-    """Places (id, at) that have an earlier alike one.
 
-    Each place is first held against its earliest candidate, which settles
-    groups of copies with one comparison a place; the other pairs are verified
-    only for places that are still left.
+def _alike(whole_lines: Callable[[DataFrame], DataFrame], met: DataFrame) -> DataFrame:
+    """(id, at, d1): places and digests of sets that have an earlier alike one.
+
+    A place has several sets only if an id is repeated; such a place is not
+    settled until all its pairs are verified.
     """
-    x, y = F.struct(F.col("x").alias("id"), F.col("x_at").alias("at")), F.struct(F.col("y").alias("id"), F.col("y_at").alias("at"))
-    pairs = stored(pairs.select(F.least(x, y).alias("e"), F.greatest(x, y).alias("l")), "line-pairs")
-    places = stored(pairs.select(F.explode(F.array("e", "l")).alias("p")).select("p.id", "p.at").distinct(), "line-places")
-    few = places.count() <= BROADCAST_ROWS
-    found = lines.join(F.broadcast(places) if few else places, ["id", "at"], "left_semi").dropDuplicates(["id", "at"])
-    sets = stored(found.select(F.struct("id", "at").alias("place"), ordered_set(F.col("line"), ranks).alias("set")), "line-sets")
-    first = stored(_verified(pairs.groupBy("l").agg(F.min("e").alias("e")), sets), "line-first")
-    later = _verified(pairs.join(first, "l", "left_anti"), sets)
-    return first.unionByName(later).select("l.id", "l.at")
+    earliest = stored(_earliest_pairs(met), "line-earliest")
+    sets = _sets(whole_lines, earliest)
+    first = stored(_verified(earliest, sets), "line-first")
+    several = sets.groupBy("place").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("place").alias("l"))
+    settled = stored(first.select("l").distinct().join(several, "l", "left_anti").select("l.id", "l.at"), "line-settled")
+    pairs = stored(_pairs(met, settled).join(earliest, ["e", "l"], "left_anti"), "line-pairs")
+    later = _verified(pairs, _sets(whole_lines, pairs))
+    return first.unionByName(later).select("l.id", "l.at", "d1").distinct()
 
 
 def flags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, gone): of each document with a removed line, whether each line goes."""
-    lines = _lines(docs, id_col, text_col)
-    ranks = rarity(lines)
-    sets = lines.select("id", "at", ordered_set(F.col("line"), ranks).alias("set"))
-    n = F.size("set")
-    prefix = F.slice("set", F.lit(1), (n - _least_overlap(n, NUM, DEN) + 1).cast("int"))
-    parity = F.aggregate("set", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(_bit(t)))
-    digests = sets.select("id", "at", F.xxhash64("set").alias("d1"), F.hash("set").alias("d2"), n.alias("n"), parity.alias("bits"), prefix.alias("prefix"))
-    kept = stored(digests, "lines")
-    full = kept.where("n > 0")
-    near = _alike(lines, _candidates(_classes(full)), ranks)
-    first = full.groupBy("d1", "d2").agg(F.min(F.struct("id", "at")).alias("first")).select("d1", "d2", "first.id", "first.at")
-    gone = first.join(near.withColumn("near", F.lit(True)), ["id", "at"], "left").select("d1", "d2", F.col("id").alias("first_id"), F.col("at").alias("first_at"), F.coalesce("near", F.lit(False)).alias("near"))
-    placed = full.select("id", "at", "d1", "d2").join(gone, ["d1", "d2"])
+    """(id, row, gone): of each text with a removed line, the numbers of these lines."""
+    whole_lines = partial(_lines, docs, id_col, text_col)
+    full = stored(_sliced(whole_lines()), "lines").where("n > 0")
+    keys = full.select("id", "row", "at", "d1", "d2")
+    copies = full.groupBy("d1", "d2").agg(F.min(F.struct("id", "at", "uid")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    copies = stored(copies.select("d1", "d2", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"), F.col("first.uid").alias("first_uid")), "line-copies")
+    prefixes = _prefixes(whole_lines, _representatives(full, copies), frequent(full))
+    near = stored(_alike(whole_lines, stored(_met(prefixes), "line-met")), "line-near")
+    alike = stored(keys.join(_light(near), ["id", "at", "d1"], "left_semi").select("d1", "d2").distinct(), "line-alike")
     later = (F.col("id") != F.col("first_id")) | (F.col("at") != F.col("first_at"))
-    out = placed.where(F.col("near") | later).groupBy("id").agg(F.collect_set("at").alias("at"))
-    return out.select("id", F.array_sort("at").alias("gone"))
+    both = keys.join(_light(copies), ["d1", "d2"], "left").join(_light(alike.withColumn("alike", F.lit(True))), ["d1", "d2"], "left")
+    out = both.where(F.col("alike") | later)
+    return out.groupBy("id", "row").agg(F.array_sort(F.collect_set("at")).alias("gone"))
 
 
 def _kept_lines(text: Column, gone: Column) -> Column:
@@ -171,15 +285,12 @@ def _kept_lines(text: Column, gone: Column) -> Column:
 def _with_flags(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` as struct line_doc with the removed line numbers (null: none).
 
-    Texts that lose nothing stay where they are if the ids of the others are few.
+    The numbers go to where the texts are if they are few.
     """
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("line_doc"), F.col(id_col).cast("long").alias("line_id"))
-    found = stored(flags(docs, id_col, text_col).withColumnRenamed("id", "line_id"), "line-flags")
-    ids = found.select("line_id")
-    if ids.count() > BROADCAST_ROWS:
-        return whole.join(found, "line_id", "left")
-    clean = whole.join(F.broadcast(ids), "line_id", "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
-    return clean.unionByName(whole.join(F.broadcast(ids), "line_id", "left_semi").join(found, "line_id"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("line_doc"), F.col(id_col).cast("long").alias("line_id"), F.xxhash64(text_col).alias("line_row"))
+    found = stored(flags(docs, id_col, text_col).select(F.col("id").alias("line_id"), F.col("row").alias("line_row"), "gone"), "line-flags")
+    longs = found.agg(F.coalesce(F.sum(F.size("gone") + 2), F.lit(0))).first()[0]
+    return whole.join(F.broadcast(found) if longs <= BROADCAST_ROWS else found, ["line_id", "line_row"], "left")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
