@@ -7,32 +7,32 @@ from pyspark.sql import functions as F
 
 from ...functions import regex
 from ...model import issue
-from ..rules import Family, group
+from ..rules import Family, Group, group
 
 _TAINT = r"(\$\{|\+\s*\w|%\s*\w|f['\"]|\.format\()"
 _FILES = r"(\.ssh|id_rsa|\.aws/credentials|\.netrc|\.npmrc|/etc/passwd|/etc/shadow|\.env\b|credentials)"
 
 POISONING = [
-    ("C hidden instruction tag in description", r"<hidden>"),
-    ("C system instruction tag in description", r"<system>"),
-    ("C instruction tag in description", r"<instructions?>"),
-    ("C secret instruction tag in description", r"<secret>"),
-    ("C internal instruction tag in description", r"<internal>"),
-    ("H HTML comment potentially hiding instructions", r"<!--.*?-->"),
-    ("C ignore previous", r"ignore\s+(all\s+)?(previous|prior|above)"),
-    ("C disregard prior", r"disregard\s+(all\s+)?(previous|prior|above)"),
-    ("C forget instructions", r"forget\s+(all\s+)?(your\s+|the\s+|previous\s+)?instructions"),
-    ("C new instructions", r"new\s+instructions?\s*:"),
-    ("C system role override", r"you\s+are\s+now\s"),
-    ("C read before execute", r"before\s+(executing|running|using|calling).{0,40}read"),
-    ("C secretly send", r"secretly\s+(send|forward|post|upload)"),
-    ("C include file in response", r"include\s+.{0,40}(contents?|file).{0,40}(response|output|reply)"),
-    ("C pass as sidenote", r"(pass|send|include)\s+.{0,40}as\s+(a\s+)?(side\s?note|debug\s+note|metadata)"),
-    ("H append to output", r"append\s+.{0,40}to\s+(the\s+|your\s+)?(output|response)"),
-    ("C read sensitive file", r"read\s+.{0,20}(/etc/passwd|/etc/shadow|id_rsa|\.env\b|credentials)"),
-    ("C access sensitive directory", r"(access|list|open)\s+.{0,20}(~/\.ssh|~/\.aws|~/\.gnupg|~/\.config)"),
-    ("H zero-width character potentially hiding content", "[\\u200b\\u200c\\u200d\\u2060\\ufeff]"),
-    ("H bidirectional text override character", "[\\u202a-\\u202e\\u2066-\\u2069]"),
+    ("C", r"<hidden>"),
+    ("C", r"<system>"),
+    ("C", r"<instructions?>"),
+    ("C", r"<secret>"),
+    ("C", r"<internal>"),
+    ("H", r"<!--.*?-->"),
+    ("C", r"ignore\s+(all\s+)?(previous|prior|above)"),
+    ("C", r"disregard\s+(all\s+)?(previous|prior|above)"),
+    ("C", r"forget\s+(all\s+)?(your\s+|the\s+|previous\s+)?instructions"),
+    ("C", r"new\s+instructions?\s*:"),
+    ("C", r"you\s+are\s+now\s"),
+    ("C", r"before\s+(executing|running|using|calling).{0,40}read"),
+    ("C", r"secretly\s+(send|forward|post|upload)"),
+    ("C", r"include\s+.{0,40}(contents?|file).{0,40}(response|output|reply)"),
+    ("C", r"(pass|send|include)\s+.{0,40}as\s+(a\s+)?(side\s?note|debug\s+note|metadata)"),
+    ("H", r"append\s+.{0,40}to\s+(the\s+|your\s+)?(output|response)"),
+    ("C", r"read\s+.{0,20}(/etc/passwd|/etc/shadow|id_rsa|\.env\b|credentials)"),
+    ("C", r"(access|list|open)\s+.{0,20}(~/\.ssh|~/\.aws|~/\.gnupg|~/\.config)"),
+    ("H", "[\\u200b\\u200c\\u200d\\u2060\\ufeff]"),
+    ("H", "[\\u202a-\\u202e\\u2066-\\u2069]"),
 ]
 #: What a tool's description is: the quoted text after the key.
 DESCRIPTION = r"description['\"]?\s*[:=]\s*(`[^`]*+`|\"[^\"]*+\"|'[^']*+')"
@@ -55,22 +55,22 @@ def _tool_extra(content: Column) -> list[Column]:
     g = group("MCP101", "doc_all", POISONING, 94)
 
     def poisoned(d: Column) -> Column:
-        hits = [F.when(d["text"].rlike(regex.java(p.regex, dotall=True)), issue(family, "MCP101", p.severity, F.concat(F.lit("tool description: "), F.lit(p.label)), regex.line_at(content, d["start"]), code=F.substring(d["text"], 1, 100), cwe=94)) for p in g.patterns]
+        hits = [F.when(d["text"].rlike(regex.java(p.regex, dotall=True)), issue(family, "MCP101", p.severity, F.lit("The quoted description of a tool gives orders to the model"), regex.line_at(content, d["start"]), code=F.substring(d["text"], 1, 100), cwe=94)) for p in g.patterns]
         return F.filter(F.array(*hits), lambda i: i.isNotNull())
 
     tools = _regions(content, TOOL, REGION)
     spoof = group("MCP112", "line_first", [
-        ("C email tool accessing sensitive data", r"e?mail.{0,300}(password|secret|credential|\.ssh)"),
-        ("H formatter tool making network requests", r"format(ter)?.{0,300}(fetch\(|requests\.|axios|http)"),
-        ("C validator tool executing commands", r"validat(e|or).{0,300}(exec|spawn|subprocess|os\.system)"),
-        ("H logger tool sending data externally", r"logg?er.{0,300}(fetch\(|requests\.|axios|http)"),
-        ("C utility tool accessing credentials", r"util(ity)?.{0,300}(credential|password|secret|token)"),
-    ])
+        ("C", r"e?mail.{0,300}(password|secret|credential|\.ssh)"),
+        ("H", r"format(ter)?.{0,300}(fetch\(|requests\.|axios|http)"),
+        ("C", r"validat(e|or).{0,300}(exec|spawn|subprocess|os\.system)"),
+        ("H", r"logg?er.{0,300}(fetch\(|requests\.|axios|http)"),
+        ("C", r"util(ity)?.{0,300}(credential|password|secret|token)"),
+    ], message="A tool does something its name does not suggest")
 
     def spoofed(t: Column) -> Column:
         out = F.lit(None)
         for p in reversed(spoof.patterns):
-            hit = issue(family, "MCP112", p.severity, p.label, regex.line_at(content, t["start"]), cwe=345)
+            hit = issue(family, "MCP112", p.severity, spoof.message, regex.line_at(content, t["start"]), cwe=345)
             out = F.when(t["text"].rlike(regex.java(p.regex, dotall=True)), hit).otherwise(out)
         return out
 
@@ -90,167 +90,187 @@ def _tool_extra(content: Column) -> list[Column]:
 
 
 MCP_SERVER = Family("mcp_server", (
-    group("MCP101", "line_first", POISONING, 94),
+    group("MCP101", "line_first", POISONING, 94, message="A tool's description talks to the model behind the user's back"),
     group("MCP102", "line_first", [
-        ("C shell=True with potential user input", r"shell\s*=\s*True"),
-        ("C os.system with string concatenation", rf"os\.system\s*\([^)]*{_TAINT}"),
-        ("C os.popen with string concatenation", rf"os\.popen\s*\([^)]*{_TAINT}"),
-        ("C exec with user input", r"(^|[^\w.])exec\s*\(\s*\w*(input|cmd|command|user|param|arg)"),
-        ("C eval with user input", r"\beval\s*\(\s*\w+"),
-        ("C child_process with template literal injection", r"\b(exec|execSync|spawn|spawnSync)\s*\(\s*`[^`]*\$\{"),
-        ("C child_process with string concatenation", r"\b(exec|execSync|spawn|spawnSync)\s*\([^)]*['\"]\s*\+"),
-        ("C new Function with user input", r"new\s+Function\s*\("),
-        ("C eval with template literal", r"\beval\s*\(\s*`"),
-    ], 78),
+        ("C", r"shell\s*=\s*True"),
+        ("C", rf"os\.system\s*\([^)]*{_TAINT}"),
+        ("C", rf"os\.popen\s*\([^)]*{_TAINT}"),
+        ("C", r"(^|[^\w.])exec\s*\(\s*\w*(input|cmd|command|user|param|arg)"),
+        ("C", r"\beval\s*\(\s*\w+"),
+        ("C", r"\b(exec|execSync|spawn|spawnSync)\s*\(\s*`[^`]*\$\{"),
+        ("C", r"\b(exec|execSync|spawn|spawnSync)\s*\([^)]*['\"]\s*\+"),
+        ("C", r"new\s+Function\s*\("),
+        ("C", r"\beval\s*\(\s*`"),
+    ], 78, message="A tool puts its arguments into a shell command"),
     group("MCP103", "line_first", [
-        ("C SQL with f-string interpolation", r"(execute|query)\s*\(\s*f['\"]\s*(select|insert|update|delete)"),
-        ("C SQL with % formatting", r"(execute|query)\s*\(\s*['\"]\s*(select|insert|update|delete)[^'\"]*%s?['\"]\s*%"),
-        ("C SQL with .format", r"(select|insert|update|delete)\s[^'\"]*['\"]\s*\.format\s*\("),
-        ("C SQL with string concatenation", r"['\"]\s*(select|insert|update|delete)\s[^'\"]*['\"]\s*\+"),
-        ("C raw SQL with concatenation", r"\.raw\s*\(\s*['\"][^'\"]*['\"]\s*\+"),
-        ("C SQL query with template literal", r"(query|execute)\s*\(\s*`\s*(select|insert|update|delete)[^`]*\$\{"),
-        ("H raw query with concatenation", r"(rawQuery|queryRaw\w*)\s*\([^)]*\+"),
-    ], 89),
+        ("C", r"(execute|query)\s*\(\s*f['\"]\s*(select|insert|update|delete)"),
+        ("C", r"(execute|query)\s*\(\s*['\"]\s*(select|insert|update|delete)[^'\"]*%s?['\"]\s*%"),
+        ("C", r"(select|insert|update|delete)\s[^'\"]*['\"]\s*\.format\s*\("),
+        ("C", r"['\"]\s*(select|insert|update|delete)\s[^'\"]*['\"]\s*\+"),
+        ("C", r"\.raw\s*\(\s*['\"][^'\"]*['\"]\s*\+"),
+        ("C", r"(query|execute)\s*\(\s*`\s*(select|insert|update|delete)[^`]*\$\{"),
+        ("H", r"(rawQuery|queryRaw\w*)\s*\([^)]*\+"),
+    ], 89, message="A tool puts its arguments into a query string"),
     group("MCP107", "line_first", [
-        ("AWS Access Key ID", r"AKIA[0-9A-Z]{16}"),
-        ("model provider API key", r"\bsk-[a-zA-Z0-9]{32,}"),
-        ("assistant provider API key", r"\bsk-ant-[a-zA-Z0-9\-_]{20,}"),
-        ("source host personal access token", r"\bghp_[a-zA-Z0-9]{36}"),
-        ("hardcoded password", r"password\s*[:=]\s*['\"][^'\"]{8,}['\"]"),
-        ("hardcoded API key", r"api_?key\s*[:=]\s*['\"][^'\"]{16,}['\"]"),
-        ("hardcoded secret", r"secret\s*[:=]\s*['\"][^'\"]{8,}['\"]"),
-    ], 798, "C", skip_comments=True),
+        r"AKIA[0-9A-Z]{16}",
+        r"\bsk-[a-zA-Z0-9]{32,}",
+        r"\bsk-ant-[a-zA-Z0-9\-_]{20,}",
+        r"\bghp_[a-zA-Z0-9]{36}",
+        r"password\s*[:=]\s*['\"][^'\"]{8,}['\"]",
+        r"api_?key\s*[:=]\s*['\"][^'\"]{16,}['\"]",
+        r"secret\s*[:=]\s*['\"][^'\"]{8,}['\"]",
+    ], 798, "C", skip_comments=True, message="A credential is written into the server's source"),
     group("MCP110", "line_first", [
-        ("description loaded from remote source", r"description\s*[:=]\s*(await\s+)?(fetch|axios|requests)"),
-        ("description loaded from function call", r"description\s*[:=]\s*(await\s+)?(get|load|fetch)\w*\s*\("),
-        ("instructions loaded from remote source", r"instructions?\s*[:=]\s*(await\s+)?(fetch|axios|requests)"),
-        ("description fetched asynchronously", r"description\s*[:=]\s*await\s"),
-        ("dynamic instruction or description loading", r"(load|fetch|get)(Remote)?(Description|Instructions?)\s*\("),
-    ], 829, "H"),
+        r"description\s*[:=]\s*(await\s+)?(fetch|axios|requests)",
+        r"description\s*[:=]\s*(await\s+)?(get|load|fetch)\w*\s*\(",
+        r"instructions?\s*[:=]\s*(await\s+)?(fetch|axios|requests)",
+        r"description\s*[:=]\s*await\s",
+        r"(load|fetch|get)(Remote)?(Description|Instructions?)\s*\(",
+    ], 829, "H", message="What a tool says about itself can change after it was approved"),
     group("MCP111", "line_first", [
-        ("C reading SSH private key", r"(read|open)\w*\s*\([^)]*(\.ssh/|id_rsa|id_ed25519)"),
-        ("C reading credentials file", r"(read|open)\w*\s*\([^)]*credentials"),
-        ("C reading .netrc file", r"(read|open)\w*\s*\([^)]*\.netrc"),
-        ("H reading .npmrc", r"(read|open)\w*\s*\([^)]*\.npmrc"),
-        ("C reading sensitive file", rf"(read|open)\w*\s*\([^)]*{_FILES}"),
-        ("H dynamic environment variable access", r"(process\.env\[\s*\w+|os\.environ\[\s*[a-z_]\w*)"),
-        ("H dynamic environment variable lookup", r"os\.(getenv|environ\.get)\s*\(\s*[a-z_]\w*"),
-        ("C sending file content externally", r"(fetch|axios\.\w+|requests\.post)\s*\([^)]*(\+|,)\s*\w*(data|content|file|key|secret|creds?)\w*"),
-        ("C sending environment data externally", r"(fetch|axios\.\w+|requests\.post)\s*\([^)]*(process\.env|os\.environ)"),
-        ("H sending file content in response", r"(return|res\.send)\s*[({][^)}]*readFile"),
-        ("M glob pattern for file enumeration", r"glob\w*\s*\([^)]*\*\*"),
-        ("H directory traversal from home", r"(walk|readdir\w*|listdir)\s*\([^)]*(homedir|expanduser|~|HOME)"),
-    ], 200),
+        ("C", r"(read|open)\w*\s*\([^)]*(\.ssh/|id_rsa|id_ed25519)"),
+        ("C", r"(read|open)\w*\s*\([^)]*credentials"),
+        ("C", r"(read|open)\w*\s*\([^)]*\.netrc"),
+        ("H", r"(read|open)\w*\s*\([^)]*\.npmrc"),
+        ("C", rf"(read|open)\w*\s*\([^)]*{_FILES}"),
+        ("H", r"(process\.env\[\s*\w+|os\.environ\[\s*[a-z_]\w*)"),
+        ("H", r"os\.(getenv|environ\.get)\s*\(\s*[a-z_]\w*"),
+        ("C", r"(fetch|axios\.\w+|requests\.post)\s*\([^)]*(\+|,)\s*\w*(data|content|file|key|secret|creds?)\w*"),
+        ("C", r"(fetch|axios\.\w+|requests\.post)\s*\([^)]*(process\.env|os\.environ)"),
+        ("H", r"(return|res\.send)\s*[({][^)}]*readFile"),
+        ("M", r"glob\w*\s*\([^)]*\*\*"),
+        ("H", r"(walk|readdir\w*|listdir)\s*\([^)]*(homedir|expanduser|~|HOME)"),
+    ], 200, message="A tool opens files where credentials usually live"),
     group("MCP113", "line_first", [
-        ("H token passthrough from request", r"(token|authorization)\s*[:=]\s*(req|request)\.(headers|body|query)"),
-        ("H dynamic authorization header", r"authorization['\"]?\s*[:=]\s*(req|request|ctx|context)\."),
-        ("C mixing env vars with user input", r"process\.env\.\w+\s*\+\s*\w*(input|user|param)"),
-        ("H template literal in auth header", r"authorization['\"]?\s*[:=]\s*`[^`]*\$\{"),
-        ("H user impersonation pattern", r"(impersonate|act_?as|on_?behalf_?of)\w*\s*[:=(]"),
-        ("C privilege elevation flag", r"(elevate|escalate|sudo|as_?admin)\w*\s*[:=]\s*true"),
-    ], 441),
+        ("H", r"(token|authorization)\s*[:=]\s*(req|request)\.(headers|body|query)"),
+        ("H", r"authorization['\"]?\s*[:=]\s*(req|request|ctx|context)\."),
+        ("C", r"process\.env\.\w+\s*\+\s*\w*(input|user|param)"),
+        ("H", r"authorization['\"]?\s*[:=]\s*`[^`]*\$\{"),
+        ("H", r"(impersonate|act_?as|on_?behalf_?of)\w*\s*[:=(]"),
+        ("C", r"(elevate|escalate|sudo|as_?admin)\w*\s*[:=]\s*true"),
+    ], 441, message="A caller's identity is passed on to another service unchecked"),
     group("MCP114", "line_first", [
-        ("M common tool name that could shadow", r"name['\"]?\s*[:=]\s*['\"](read_file|write_file|search|bash|shell|fetch|execute|list_files)['\"]"),
-        ("M server enumeration function", r"(list|get|enumerate)(All)?Servers\s*\("),
-        ("H dynamic server connection", r"connect(To)?(Server)?\s*\(\s*(req|request|input|user|params)"),
-        ("H server manipulation", r"(override|replace|intercept)(Server|Tool)\s*\("),
-        ("M dynamic server assignment", r"servers?\[\s*\w+\s*\]\s*="),
-    ], 290),
+        ("M", r"name['\"]?\s*[:=]\s*['\"](read_file|write_file|search|bash|shell|fetch|execute|list_files)['\"]"),
+        ("M", r"(list|get|enumerate)(All)?Servers\s*\("),
+        ("H", r"connect(To)?(Server)?\s*\(\s*(req|request|input|user|params)"),
+        ("H", r"(override|replace|intercept)(Server|Tool)\s*\("),
+        ("M", r"servers?\[\s*\w+\s*\]\s*="),
+    ], 290, message="A tool or server can take the place of another one"),
     group("MCP115", "line_first", [
-        ("H SSE over HTTP", r"SSE\w*Transport\s*\([^)]*['\"]http://"),
-        ("H EventSource over HTTP", r"EventSource\s*\(\s*['\"]http://"),
-        ("M binding to all interfaces", r"(listen|bind)\s*\([^)]*0\.0\.0\.0"),
-        ("M host set to all interfaces", r"host\s*[:=]\s*['\"]0\.0\.0\.0"),
-        ("C TLS verification disabled", r"(rejectUnauthorized\s*:\s*false|verify\s*=\s*False)"),
-        ("C runtime TLS rejection disabled", r"NODE_TLS_REJECT_UNAUTHORIZED\s*['\"]?\]?\s*=\s*['\"]?0"),
-    ], 319),
+        ("H", r"SSE\w*Transport\s*\([^)]*['\"]http://"),
+        ("H", r"EventSource\s*\(\s*['\"]http://"),
+        ("M", r"(listen|bind)\s*\([^)]*0\.0\.0\.0"),
+        ("M", r"host\s*[:=]\s*['\"]0\.0\.0\.0"),
+        ("C", r"(rejectUnauthorized\s*:\s*false|verify\s*=\s*False)"),
+        ("C", r"NODE_TLS_REJECT_UNAUTHORIZED\s*['\"]?\]?\s*=\s*['\"]?0"),
+    ], 319, message="The transport is unprotected or open to other hosts"),
     group("MCP116", "line_first", [
-        ("H schema modification function", r"(modify|update|set|change)(Tool)?Schema\s*\("),
-        ("H direct schema assignment", r"\.(inputSchema|schema)\s*=[^=]"),
-        ("H description modification", r"\.description\s*=[^=]"),
-        ("C description from remote source", r"\.description\s*=\s*await\s+(fetch|axios)"),
-        ("M delayed tool registration", r"setTimeout\s*\([^)]*(registerTool|addTool|\.tool\()"),
-        ("H periodic schema updates", r"setInterval\s*\([^)]*(schema|tool|description)"),
-        ("M time-based conditional behaviour", r"if\s*\(\s*(Date\.now|new\s+Date|time\.time)"),
-    ], 915),
+        ("H", r"(modify|update|set|change)(Tool)?Schema\s*\("),
+        ("H", r"\.(inputSchema|schema)\s*=[^=]"),
+        ("H", r"\.description\s*=[^=]"),
+        ("C", r"\.description\s*=\s*await\s+(fetch|axios)"),
+        ("M", r"setTimeout\s*\([^)]*(registerTool|addTool|\.tool\()"),
+        ("H", r"setInterval\s*\([^)]*(schema|tool|description)"),
+        ("M", r"if\s*\(\s*(Date\.now|new\s+Date|time\.time)"),
+    ], 915, message="A tool's definition is changed while the server runs"),
     group("MCP117", "line_first", [
-        ("C OAuth authorization_endpoint with string concatenation", r"authorization_?endpoint\s*[:=]?\s*['\"]?[^;]*\+"),
-        ("C OAuth authorization_endpoint with template literal", r"authorization_?endpoint\s*[:=]\s*`[^`]*\$\{"),
-        ("C OAuth authorization_endpoint from user input", r"authorization_?endpoint\s*[:=]\s*(req|request|input|params)"),
-        ("H open called with authorization URL", r"\bopen\s*\(\s*\w*(auth\w*url|authorization)"),
-        ("H browser open with dynamic URL", r"(webbrowser\.open|openBrowser|shell\.openExternal)\s*\(\s*\w+"),
-        ("C open with template literal URL", r"\bopen\s*\(\s*`[^`]*\$\{"),
-        ("M PowerShell subexpression that could enable command injection", r"powershell[^;]*\$\("),
-        ("H Start-Process with dynamic argument", r"Start-Process[^;]*\$"),
-        ("M remote proxy version to check", r"mcp-remote['\"]?\s*[:@]\s*['\"]?\^?0\.(0|1\.([0-9]|1[0-5])\b)"),
-        ("M remote proxy without a version", r"npx\s+(-y\s+)?mcp-remote(\s|['\"]|$)"),
-        ("H OAuth discovery with dynamic server", r"\.well-known/oauth-authorization-server[^;]*(\+|\$\{)"),
-        ("H OpenID configuration discovery with dynamic URL", r"\.well-known/openid-configuration[^;]*(\+|\$\{)"),
-        ("H OAuth redirect_uri with string concatenation", r"redirect_?uri\s*[:=][^;]*\+"),
-        ("H OAuth token_endpoint with string concatenation", r"token_?endpoint\s*[:=][^;]*\+"),
-    ], 78),
+        ("C", r"authorization_?endpoint\s*[:=]?\s*['\"]?[^;]*\+"),
+        ("C", r"authorization_?endpoint\s*[:=]\s*`[^`]*\$\{"),
+        ("C", r"authorization_?endpoint\s*[:=]\s*(req|request|input|params)"),
+        ("H", r"\bopen\s*\(\s*\w*(auth\w*url|authorization)"),
+        ("H", r"(webbrowser\.open|openBrowser|shell\.openExternal)\s*\(\s*\w+"),
+        ("C", r"\bopen\s*\(\s*`[^`]*\$\{"),
+        ("M", r"powershell[^;]*\$\("),
+        ("H", r"Start-Process[^;]*\$"),
+        ("M", r"mcp-remote['\"]?\s*[:@]\s*['\"]?\^?0\.(0|1\.([0-9]|1[0-5])\b)"),
+        ("M", r"npx\s+(-y\s+)?mcp-remote(\s|['\"]|$)"),
+        ("H", r"\.well-known/oauth-authorization-server[^;]*(\+|\$\{)"),
+        ("H", r"\.well-known/openid-configuration[^;]*(\+|\$\{)"),
+        ("H", r"redirect_?uri\s*[:=][^;]*\+"),
+        ("H", r"token_?endpoint\s*[:=][^;]*\+"),
+    ], 78, message="The sign-in flow takes addresses or commands it has not checked"),
     group("MCP118", "line_first", [
-        ("C tool using elevated token", r"(admin|root|service|elevated)_?token\s*[:=(]"),
-        ("H service account execution", r"(run|execute)_?as_?service"),
-        ("C permission bypass pattern", r"(bypass|skip|ignore)_?(permission|auth)\w*\s*[:=(]"),
-        ("H privilege inheritance", r"inherit_?(privileges?|permissions?)\s*[:=(]"),
-        ("H context manipulation from tool", r"(context|ctx)\.(user|role|permissions)\s*=[^=]"),
-        ("C permission override", r"(override|force)_?permissions?\s*[:=(]"),
-        ("H tool auth differs from user", r"tool_?(auth|token|credentials?)\s*[:=]"),
-        ("C privilege escalation via tool", r"(grant|add)_?(admin|role|permission)\s*\("),
-        ("M auth header forwarding", r"headers?\s*[:=]\s*(req|request)\.headers"),
-        ("H credential proxying", r"(proxy|forward)_?(credentials?|auth|token)\w*\s*[:=(]"),
-    ], 441),
+        ("C", r"(admin|root|service|elevated)_?token\s*[:=(]"),
+        ("H", r"(run|execute)_?as_?service"),
+        ("C", r"(bypass|skip|ignore)_?(permission|auth)\w*\s*[:=(]"),
+        ("H", r"inherit_?(privileges?|permissions?)\s*[:=(]"),
+        ("H", r"(context|ctx)\.(user|role|permissions)\s*=[^=]"),
+        ("C", r"(override|force)_?permissions?\s*[:=(]"),
+        ("H", r"tool_?(auth|token|credentials?)\s*[:=]"),
+        ("C", r"(grant|add)_?(admin|role|permission)\s*\("),
+        ("M", r"headers?\s*[:=]\s*(req|request)\.headers"),
+        ("H", r"(proxy|forward)_?(credentials?|auth|token)\w*\s*[:=(]"),
+    ], 441, message="A tool acts with more rights than its caller has"),
 ), gate=(r"@modelcontextprotocol", r"from\s+mcp\b", r"import\s+mcp\b", r"McpServer", r"fastmcp", r"mcp\.server", r"server\.tool\s*\(", r"@(mcp|server)\.tool\b", r"registerTool\s*\(", r"addTool\s*\(", r"ListToolsRequest", r"CallToolRequest", r"setRequestHandler"),
   extensions=(".ts", ".js", ".mjs", ".py"), extra=_tool_extra)
 
+#: Words of a model's answer, and of what sends it on, in one line.
+_ANSWER, _SENT = r"(response|completion|output|result|answer)", r"(return|print)"
+_OUTPUT_SENT = rf"{_ANSWER}[^\n]*{_SENT}|{_SENT}[^\n]*{_ANSWER}"
+
 LLM_GUARD = Family("llm_guard", (
     group("LLG001", "line_first", [
-        ("user input directly in f-string prompt", r"prompt\s*=\s*f['\"].*\{.*(user|input|query)"),
-        ("user input in .format prompt", r"prompt.*\.format\(.*(user|input|query)"),
-        ("user input assigned directly to prompt", r"prompt\s*=\s*(user_?input|input\(|request\.)"),
-        ("user input concatenated to message", r"message\w*\s*\+?=.*\+\s*(user|input|query)"),
-        ("input concatenated to content", r"content['\"]?\s*:\s*.*\+\s*(user|input|query)"),
-        ("input in template string", r"`[^`]*\$\{.*(user|input|query)"),
-    ], 94, "C"),
+        r"prompt\s*=\s*f['\"].*\{.*(user|input|query)",
+        r"prompt.*\.format\(.*(user|input|query)",
+        r"prompt\s*=\s*(user_?input|input\(|request\.)",
+        r"message\w*\s*\+?=.*\+\s*(user|input|query)",
+        r"content['\"]?\s*:\s*.*\+\s*(user|input|query)",
+        r"`[^`]*\$\{.*(user|input|query)",
+    ], 94, "C", message="Text of a user flows into a prompt without a scanner in between"),
     group("LLG002", "line_first", [
-        ("national identity number pattern", r"\b\d{3}-\d{2}-\d{4}\b"),
-        ("credit card number", r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b"),
-        ("email address", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-        ("phone number", r"(\+?1[- .]?)?\(?\d{3}\)?[- .]\d{3}[- .]\d{4}"),
-        ("date of birth", r"dob|birth\s?date|date\s+of\s+birth"),
-        ("street address", r"\d+\s+\w+\s+street|\bavenue\b|\broad\b"),
-    ], None, "H", skip_comments=True),
+        r"\b\d{3}-\d{2}-\d{4}\b",
+        r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b",
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+        r"(\+?1[- .]?)?\(?\d{3}\)?[- .]\d{3}[- .]\d{4}",
+        r"dob|birth\s?date|date\s+of\s+birth",
+        r"\d+\s+\w+\s+street|\bavenue\b|\broad\b",
+    ], None, "H", skip_comments=True, message="Details about a person are part of the text for the model"),
     group("LLG003", "line_first", [
-        ("API key in prompt", r"api[_-]?key\s*[:=]\s*['\"]?[A-Za-z0-9_\-]{16,}"),
-        ("password in prompt", r"password\s*[:=]\s*['\"]?\S{6,}"),
-        ("secret or token in prompt", r"(secret|token)\s*[:=]\s*['\"]?[A-Za-z0-9_\-]{16,}"),
-        ("bearer token in prompt", r"bearer\s+[A-Za-z0-9._\-]{16,}"),
-        ("cloud access key in prompt", r"AKIA[0-9A-Z]{16}"),
-    ], None, "C", skip_comments=True, and_line=r"prompt|message|content|system|user|assistant"),
-    group("LLG004", "first_of_list", [("model output is returned without moderation", p) for p in (r"return\s[^\n]*(response|completion|output|generated)", r"print\s*\([^\n]*(response|completion|output|generated)")], severity="M", message="model output is returned without moderation", control=(r"moderat\w+", r"filter\w*", r"saniti[sz]\w+", r"guard\w*")),
+        r"api[_-]?key\s*[:=]\s*['\"]?[A-Za-z0-9_\-]{16,}",
+        r"password\s*[:=]\s*['\"]?\S{6,}",
+        r"(secret|token)\s*[:=]\s*['\"]?[A-Za-z0-9_\-]{16,}",
+        r"bearer\s+[A-Za-z0-9._\-]{16,}",
+        r"AKIA[0-9A-Z]{16}",
+    ], None, "C", skip_comments=True, and_line=r"prompt|message|content|system|user|assistant", message="A credential is part of the text for the model"),
+    group("LLG004", "doc_first", [_OUTPUT_SENT], severity="M", message="An answer of the model is passed on with no scanner in between", control=(r"toxic", r"harmful", r"content_filter", r"moderation")),
     group("LLG006", "line_all", [
-        ("zero width space", "\\u200b"), ("zero width non-joiner", "\\u200c"), ("zero width joiner", "\\u200d"),
-        ("word joiner", "\\u2060"), ("byte order mark inside text", "\\ufeff"), ("soft hyphen", "\\u00ad"),
-    ], None, "H"),
+        "\\u200b", "\\u200c", "\\u200d",
+        "\\u2060", "\\ufeff", "\\u00ad",
+    ], None, "H", message="Characters that don't show may hide instructions"),
     group("LLG007", "line_all", [
-        ("exec on model response", r"\bexec\s*\(.*(response|completion|output)"),
-        ("eval on model response", r"\beval\s*\(.*(response|completion|output)"),
-        ("subprocess with model response", r"subprocess\.\w+\(.*(response|completion|output)"),
-        ("os.system with model response", r"os\.system\(.*(response|completion|output)"),
-        ("dynamic import from response", r"(__import__|import_module)\(.*(response|completion|output)"),
-    ], 94, "C"),
-    group("LLG010", "absent", severity="M", message="model API is called without guards", present=(r"\.create\s*\(", r"\.generate\s*\(", r"\.invoke\s*\(", r"\.complete\s*\(", r"\.chat\s*\("), control=(r"guard\w*", r"moderat\w+", r"filter\w*", r"validat\w+", r"saniti[sz]\w+", r"safety", r"rails")),
+        r"\bexec\s*\(.*(response|completion|output)",
+        r"\beval\s*\(.*(response|completion|output)",
+        r"subprocess\.\w+\(.*(response|completion|output)",
+        r"os\.system\(.*(response|completion|output)",
+        r"(__import__|import_module)\(.*(response|completion|output)",
+    ], 94, "C", message="Code that the model wrote is run"),
+    group("LLG010", "absent", severity="M", message="The model is called with no scanner on its input or output", present=(r"\.create\s*\(", r"\.generate\s*\(", r"\.invoke\s*\(", r"\.complete\s*\(", r"\.chat\s*\("), control=(r"guard\w*", r"moderat\w+", r"filter\w*", r"validat\w+", r"saniti[sz]\w+", r"safety", r"rails")),
 ), gate_words=("openai", "anthropic", "langchain", "llm", "gpt", "claude", "prompt", "completion", "chat", "llama", "gemini", "mistral", "cohere", "huggingface", "transformers", "assistant"), extensions=(".py", ".js", ".ts", ".jsx", ".tsx", ".yaml", ".json"))
 
 
+#: The words that settings of a probed model must not hold, by rule.
+PROBE_WORDS = {
+    "GRK001": ("inject", "bypass", "ignore previous", "disregard", "new instructions", "forget", "override"),
+    "GRK002": ("return_raw", "include_context", "expose_system", "debug_mode", "verbose_error", "show_prompt"),
+    "GRK003": ("disable_safety", "no_guardrail", "bypass_filter", "allow_harmful", "unrestricted", "jailbreak"),
+    "GRK004": ("temperature: 2", "temperature: 1.5", "temperature: 1.8", "top_p: 1.0", "no_grounding", "creative_mode"),
+    "GRK005": ("content_filter: false", "disable_moderation", "allow_nsfw", "no_content_policy"),
+    "GRK006": ("decode_base64", "eval_response", "exec_output", "unicode_decode", "allow_encoded"),
+    "GRK007": ("allow_external_tool", "unrestricted_plugin", "any_tool_access", "cross_agent_call"),
+}
+
+
+def _probe(rule_id: str, severity: str, message: str, cwe: int | None = None) -> Group:
+    return group(rule_id, "line_first", [w.replace(".", r"\.") for w in PROBE_WORDS[rule_id]], cwe, severity, message=message, skip_comments=True)
+
+
 GARAK = Family("probe_config", (
-    group("GRK001", "line_first", [("unsafe evaluation of model output", r"eval\(|exec\(|os\.system|subprocess|__import__|compile\(|pickle\.loads")], 94, "C", skip_comments=True),
-    group("GRK002", "line_first", [("prompt injection vector", r"ignore previous|ignore all|disregard|override instructions|system prompt|jailbreak")], None, "H", skip_comments=True),
-    group("GRK003", "line_first", [("harmful generation enabled", r"uncensored|no_filter|disable_safety|unsafe_mode|bypass_filter|allow_harmful")], None, "C", skip_comments=True),
-    group("GRK004", "line_first", [("hallucination risk setting", r"temperature['\"]?\s*[:=]\s*(1\.[5-9]|2)|top_p['\"]?\s*[:=]\s*1\.0\b|no_grounding|allow_hallucination|creative_mode|unverified")], None, "M", skip_comments=True),
-    group("GRK005", "line_first", [("training data leakage risk", r"training_data|memoriz|replay_data|leak_data")], None, "H", skip_comments=True),
-    group("GRK006", "line_first", [("output used without escaping", r"innerHTML|dangerouslySetInnerHTML|document\.write|v-html|\|\s*safe\b")], 116, "H", skip_comments=True),
-    group("GRK007", "line_first", [("encoding-based bypass", r"base64|rot13|hex_encode|unicode_escape")], None, "H", skip_comments=True),
-    group("GRK003", "absent", severity="M", message="model settings without guardrail or safety words", present=(r"garak|llm",), control=(r"guard_?rail|safety",)),
+    _probe("GRK001", "C", "Settings hold words that steer a model away from its orders", 94),
+    _probe("GRK002", "H", "Settings let a caller see what the model was told"),
+    _probe("GRK003", "C", "Settings switch the model's limits off"),
+    _probe("GRK004", "M", "Settings make invented answers more likely"),
+    _probe("GRK005", "H", "Settings let harmful wording through"),
+    _probe("GRK006", "H", "Settings let encoded text past the checks", 116),
+    _probe("GRK007", "H", "Settings let the model reach any tool or agent"),
+    group("GRK003", "absent", severity="M", message="Settings of a model say nothing about its limits", control=(r"guardrail", r"safety"), file_words=("garak", "llm")),
 ), extensions=(".yaml", ".yml", ".json", ".toml"))

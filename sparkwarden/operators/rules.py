@@ -37,8 +37,8 @@ COMMENT = r"^\s*(//|#)"
 @dataclass(frozen=True)
 class Pattern:
     severity: str
-    label: str
     regex: str
+    label: str = ""
     rule_id: str | None = None
 
 
@@ -61,6 +61,11 @@ class Group:
     and_line: str | None = None
     not_near: str | None = None
     near: tuple[int, int] = (500, 100)
+    file_words: tuple[str, ...] = ()
+
+    def message_of(self, p: Pattern | None = None) -> str:
+        """What a finding says: the pattern's own label, or else what the group is for."""
+        return (p.label if p else "") or self.message or ""
 
     def java(self, pattern: str) -> str:
         return regex.java(pattern, self.ignore_case, self.dotall, self.multiline)
@@ -90,21 +95,22 @@ class Family:
         out = []
         for g in self.groups:
             for p in g.patterns:
-                out.append((p.rule_id or g.rule_id, g.severity or p.severity, p.label, p.regex, g.mode, g.cwe))
+                out.append((p.rule_id or g.rule_id, g.severity or p.severity, g.message_of(p), p.regex, g.mode, g.cwe))
             if not g.patterns:
                 out.append((g.rule_id, g.severity, g.message, "", g.mode, g.cwe))
         return out
 
 
 def group(rule_id: str, mode: str, patterns=(), cwe: int | None = None, severity: str | None = None, **kw) -> Group:
-    """A group from ("C label", regex) pairs; the letter is the severity, left out where it is fixed."""
+    """A group from regexes; where severities differ, of ("C", regex) or ("C label", regex) pairs."""
     out = []
-    for label, pattern in patterns:
+    for entry in patterns:
+        label, pattern = ("", entry) if isinstance(entry, str) else entry
         letter, _, rest = label.partition(" ")
         if letter in LETTERS:
-            out.append(Pattern(LETTERS[letter], rest, pattern))
+            out.append(Pattern(LETTERS[letter], pattern, rest))
         else:
-            out.append(Pattern(LETTERS.get(severity or "", severity or "MEDIUM"), label, pattern))
+            out.append(Pattern(LETTERS.get(severity or "", severity or "MEDIUM"), pattern, label))
     sev = LETTERS.get(severity, severity) if severity else None
     for key in ("control", "present", "present_all"):
         if key in kw:
@@ -130,7 +136,7 @@ class _Compiled:
 
     def number(self, g: Group, p: Pattern | None = None) -> int:
         severity = g.severity or (p.severity if p else "MEDIUM")
-        self.table.append({"rule_id": (p and p.rule_id) or g.rule_id, "severity": severity, "softer": _SOFTER.get(severity, severity), "message": g.message or (p.label if p else ""), "cwe_id": g.cwe})
+        self.table.append({"rule_id": (p and p.rule_id) or g.rule_id, "severity": severity, "softer": _SOFTER.get(severity, severity), "message": g.message_of(p), "cwe_id": g.cwe})
         return len(self.table) - 1
 
     def issues(self, hits: Column) -> Column:
@@ -184,8 +190,8 @@ def line_issues(family: Family, line: Column, low: Column, line_no: Column) -> C
     return compiled.issues(F.transform(F.array_compact(F.array(*codes)), lambda n: _hit(n, line_no, code)))
 
 
-def doc_issues(family: Family, content: Column) -> Column | None:
-    """array<issue> of a whole text, from the family's other groups."""
+def doc_issues(family: Family, content: Column, path: Column | None = None) -> Column | None:
+    """array<issue> of a whole text, from the family's other groups; ``path`` is for those that ask for a file name."""
     compiled, single, several = _Compiled(family), [], []
     for g in family.groups:
         if g.mode in LINE_MODES:
@@ -198,6 +204,9 @@ def doc_issues(family: Family, content: Column) -> Column | None:
             guard = guard & content.rlike(g.java(regex.any_of(list(g.present))))
         for p in g.present_all:
             guard = guard & content.rlike(g.java(p))
+        if g.file_words:
+            name = F.lower(F.element_at(F.split(path if path is not None else F.lit(""), "/"), -1))
+            guard = guard & name.rlike("|".join(f"\\Q{w}\\E" for w in g.file_words))
         soft = controlled if g.softened else None
         if g.mode == "absent":
             single.append(F.when(guard, _hit(compiled.number(g), 1)))
@@ -265,7 +274,7 @@ def evaluate(docs: DataFrame, families: list[Family], applies: Column | None = N
         return cond & gate if gate is not None else cond
 
     found: list[DataFrame] = []
-    per_doc = [(f, doc_issues(f, F.col("content"))) for f in families]
+    per_doc = [(f, doc_issues(f, F.col("content"), F.col("path"))) for f in families]
     arrays = [F.when(wanted(f, F.col("content")), a) for f, a in per_doc if a is not None]
     if arrays:
         issues = F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))
