@@ -13,13 +13,18 @@ per pair of blocks only k rows a query remain, then a window keeps the best k.
 Defined results: null vectors, vectors holding null, NaN or an infinity, and
 rows without an id take no part.  Vectors of another length than the query's
 are not compared with it.  Rows that carry the query's id are not candidates
-for it; other repeated rows each count.  Ties go to the smaller id.  An empty
+for it; other repeated rows each count, and query rows of one id with different
+vectors share one ranking.  Components may have any finite size: scores are exact
+integers and ranked as such; ``score`` shows the nearest 64-bit value of one that
+64 bits can't hold.  Ties go to the smaller id.  An empty
 table gives an empty result; a query without candidates gives no row.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -27,29 +32,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BLOCK = "block long, dim int, n int, ids binary, data binary"
-#: Components beyond this leave the range in which integer scores are exact.
-_LIMIT = 2.0**26
+#: Bound of the sums of products that 64-bit integers hold; beyond it Python's integers take over.
+_NARROW = 2.0**62
+_LONG = (1 << 63) - 1
 
 
-def _pack(rows: DataFrame, size: int, scale: int) -> DataFrame:
-    """Rows (id, v) as blocks of at most ``size`` equal-length integer vectors."""
+def _pack(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (id, v) as blocks of at most ``size`` equal-length vectors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
 
         def emit(dim: int) -> pd.DataFrame:
             ids, vectors = zip(*held.pop(dim))
-            ids, data = np.array(ids, dtype=np.int64), np.array(vectors, dtype=np.int64)
+            ids, data = np.array(ids, dtype=np.int64), np.array(vectors, dtype=np.float64)
             return pd.DataFrame({"block": [int(ids[0])], "dim": [dim], "n": [len(ids)], "ids": [ids.tobytes()], "data": [data.tobytes()]})
 
         for batch in batches:
             for i, v in zip(batch["id"], batch["v"]):
-                v = np.asarray(v, dtype=np.float64)
-                whole = np.floor(v * scale)
-                if np.abs(whole).max(initial=0) > _LIMIT:
-                    raise ValueError(f"components beyond {_LIMIT / scale:g} are not supported")
                 rows_of = held.setdefault(len(v), [])
-                rows_of.append((i, whole.astype(np.int64)))
+                rows_of.append((i, np.asarray(v, dtype=np.float64)))
                 if len(rows_of) >= size:
                     yield emit(len(v))
         for dim in list(held):
@@ -102,6 +104,37 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
     return tuple(np.concatenate(o) if o else np.zeros(0, dtype=np.int64) for o in out)
 
 
+def _wide(v: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of all components as Python integers; whole doubles are scaled as integers, so none overflows."""
+    whole = [int(e) * scale if abs(e) >= 2.0**53 else int(np.floor(e * scale)) for e in v.ravel().tolist()]
+    return np.array([*whole, None], dtype=object)[:-1].reshape(v.shape)
+
+
+def _magnitude(score: int) -> str | None:
+    """What orders scores that a long can't hold: digits after their number, complemented below zero."""
+    if abs(score) < _LONG:
+        return None
+    digits = str(abs(score))
+    if score > 0:
+        return f"1{len(digits):06d}{digits}"
+    return f"0{999_999 - len(digits):06d}" + "".join(str(9 - int(c)) for c in digits)
+
+
+def _searched(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, scale: int) -> pd.DataFrame:
+    """Best k of a block for each query of another: by bounds where 64 bits hold all scores, else one by one."""
+    with np.errstate(over="ignore"):
+        qw, xw = np.floor(q * scale), np.floor(x * scale)
+        room = max(1, q.shape[1]) * np.abs(qw).max(initial=1) * np.abs(xw).max(initial=1)
+    if room < _NARROW:
+        a, b, c = search_block(q_ids, qw.astype(np.int64), ids, xw.astype(np.int64), k)
+        return pd.DataFrame({"query_id": a, "vec_id": b, "score": c, "beyond": None})
+    rows, qw, xw = [], _wide(q, scale), _wide(x, scale)
+    for i, own in enumerate(q_ids.tolist()):
+        scores = [(-sum(map(mul, qw[i], v)), other) for other, v in zip(ids.tolist(), xw) if other != own]
+        rows += [(own, other, max(-_LONG, min(_LONG, -s)), _magnitude(-s)) for s, other in heapq.nsmallest(k, scores)]
+    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score", "beyond"])
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 1024, block: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best candidates."""
     v = F.col(vector_col)
@@ -111,20 +144,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     asked = rows.where(is_query).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v")).distinct()
     # Blocks of candidates are dealt over groups; each group gets all blocks of queries.
     groups = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    data = _pack(kept, block, scale).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    queries = _pack(asked, query_block, scale).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("q_group"))
+    data = _pack(kept, block).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    queries = _pack(asked, query_block).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("q_group"))
     pairs = data.join(queries, (data["dim"] == queries["q_dim"]) & (data["group"] == queries["q_group"]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 ids, q_ids = np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.q_ids, dtype=np.int64)
-                x = np.frombuffer(r.data, dtype=np.int64).reshape(len(ids), r.dim)
-                q = np.frombuffer(r.q_data, dtype=np.int64).reshape(len(q_ids), r.dim)
-                a, b, c = search_block(q_ids, q, ids, x, k)
-                yield pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+                x = np.frombuffer(r.data, dtype=np.float64).reshape(len(ids), r.dim)
+                q = np.frombuffer(r.q_data, dtype=np.float64).reshape(len(q_ids), r.dim)
+                yield _searched(q_ids, q, ids, x, k, scale)
 
-    found = pairs.mapInPandas(run, "query_id long, vec_id long, score long")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.mapInPandas(run, "query_id long, vec_id long, score long, beyond string")
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
