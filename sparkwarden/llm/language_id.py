@@ -115,34 +115,33 @@ def fit(texts: list[str], labels: list[str], ambiguity: float = 0.1, ridge: floa
 def fit_grams(rows: list[Grams], labels: list[str], ambiguity: float = 0.1, ridge: float = 0.02) -> Model | None:
     """Train on the grams of each row.
 
-    Memory: the rows as given, three rows x rows matrices, and a block of
-    ``_BLOCK`` gram columns at a time.
+    Memory: the rows as given, two rows x rows matrices, and a block of ``_BLOCK``
+    gram columns at a time.
     """
     languages = sorted(set(labels))
     if not languages:
         return None
     code = codewords(len(languages))
     d, scale, n = 1 << _BITS, 8.0, len(rows)
-    number = np.concatenate([g.number for g in rows])
-    share = np.concatenate([g.share for g in rows])
-    owner = np.repeat(np.arange(n, dtype=np.int32), [len(g.number) for g in rows])
-    order = np.argsort(number, kind="stable")
-    number, share, owner = number[order], share[order], owner[order]
     at = {y: i for i, y in enumerate(languages)}
     y = np.array([at[label] for label in labels])
     importance = (1.0 / np.bincount(y, minlength=len(languages)))[y]
     importance /= importance.mean()
     # Rare grams weigh more; then every bit is a weighted ridge regression on +-1, solved in the dual.
-    rare = (1 / np.sqrt(np.bincount(number, weights=share, minlength=d) / n + 1e-5)).astype(np.float32)
-    share *= rare[number]
+    mean = np.zeros(d)
+    for g in rows:
+        mean[g.number] += g.share
+    rare = (1 / np.sqrt(mean / n + 1e-5)).astype(np.float32)
     target = code[y]
     bias = (importance[:, None] * target).mean(axis=0)
 
     def blocks() -> Iterator[tuple[int, np.ndarray]]:
         for start in range(0, d, _BLOCK):
-            a, b = np.searchsorted(number, [start, start + _BLOCK])
             block = np.zeros((n, _BLOCK), dtype=np.float32)
-            block[owner[a:b], number[a:b] - start] = share[a:b]
+            for i, g in enumerate(rows):
+                a, b = np.searchsorted(g.number, [start, start + _BLOCK])
+                block[i, g.number[a:b] - start] = g.share[a:b]
+            block *= rare[start : start + _BLOCK]
             yield start, block
 
     kernel = np.zeros((n, n))
@@ -150,20 +149,34 @@ def fit_grams(rows: list[Grams], labels: list[str], ambiguity: float = 0.1, ridg
         kernel += block @ block.T
     penalty = ridge * np.trace(kernel) / n
     kernel[np.diag_indices(n)] += penalty / importance
-    inverse = np.linalg.inv(kernel)
+    factor = np.linalg.cholesky(kernel)
     del kernel
-    dual = inverse @ (target - bias)
+    half = _lower_inverse(factor)
+    del factor
+    dual = half.T @ (half @ (target - bias))
     weights = np.zeros((d, code.shape[1]), dtype=np.float32)
     for start, block in blocks():
         weights[start : start + _BLOCK] = block.T @ dual.astype(np.float32)
     weights *= rare[:, None]
     # Left-one-out margins of a ridge regression tell how far to trust each bit.
-    left_out = target - dual / np.diag(inverse)[:, None]
+    left_out = target - dual / np.einsum("ij,ij->j", half, half)[:, None]
     accuracy = ((left_out * target > 0) * importance[:, None]).mean(axis=0)
     bit_weight = np.maximum(0.05, 2 * accuracy - 1).astype(np.float32)
     return Model(languages, code, weights, bias, bit_weight, scale, ambiguity)
 
 
+def _lower_inverse(factor: np.ndarray, step: int = 256) -> np.ndarray:
+    """Inverse of a lower triangular matrix, by blocks of rows."""
+    n = len(factor)
+    out = np.zeros((n, n))
+    for a in range(0, n, step):
+        b = min(a + step, n)
+        own = np.linalg.inv(factor[a:b, a:b])
+        out[a:b, a:b] = own
+        out[a:b, :a] = -own @ (factor[a:b, :a] @ out[:a, :a])
+    return out
+
+
 def decode(model: Model, margins: np.ndarray) -> tuple[str, str | None, float, bool]:
     """Nearest and second codeword by weighted logistic loss, score, ambiguity."""
     if len(model.languages) == 1:
