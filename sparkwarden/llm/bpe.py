@@ -30,8 +30,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the cache of folded words, per Python worker.
-CACHE = 400_000
+#: Entries of each of the two generations of the cache of folded words, per Python worker.
+CACHE = 1 << 16
+#: Longer words are folded each time, so that the cache is bounded in bytes as well.
+LONGEST = 256
 
 
 @lru_cache(maxsize=4)
@@ -108,12 +110,17 @@ class Codec:
         self.pieces = {i: p for p, i in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
 
     def word(self, word: str) -> tuple[str, int, bytes]:
-        ids = fold(word.encode("utf-8", "surrogatepass"), self.ranks)
         if len(self.cache) >= CACHE:
-            self.cache.clear()
-        found = self.cache[word] = (",".join(map(str, ids)), len(ids), b"".join([self.pieces[i] for i in ids]))
+            self.older, self.cache = self.cache, {}
+        found = self.older.get(word)
+        if found is None:
+            ids = fold(word.encode("utf-8", "surrogatepass"), self.ranks)
+            found = (",".join(map(str, ids)), len(ids), b"".join([self.pieces[i] for i in ids]))
+        if len(word) <= LONGEST:
+            self.cache[word] = found
         return found
 
     def text(self, text: str) -> tuple[int, str, bytes]:
