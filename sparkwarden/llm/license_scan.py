@@ -57,14 +57,14 @@ KNOWN = {
 
 #: Signs that count as one, replaced before punctuation goes.
 SIGNS = [("https://", "http://"), ("&", " and ")]
-#: Spellings that count as one, over words between single blanks.
+#: Spellings that count as one, over words between single blanks; they start at a word's start, and end at one's end where a blank ends them.
 EQUIVALENT = [
     ("licence", "license"),
     ("sub license", "sublicense"),
     ("non commercial", "noncommercial"),
     ("non infringement", "noninfringement"),
     ("acknowledgement", "acknowledgment"),
-    ("per cent", "percent"),
+    ("per cent ", "percent "),
     ("copyright holder", "copyright owner"),
     ("favour", "favor"),
     ("fulfilment", "fulfillment"),
@@ -100,10 +100,10 @@ def canonical(text: Column) -> Column:
 
 def spelled(words: Column) -> Column:
     """Words of one line with equivalent spellings made one."""
-    out = F.trim(words)
+    out = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
     for old, new in EQUIVALENT:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return out
+        out = F.replace(out, F.lit(" " + old), F.lit(" " + new))
+    return F.trim(out)
 
 
 def _one_line(form: Column) -> Column:

@@ -94,10 +94,10 @@ def _op5_sql() -> str:
         return f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
 
     def spelled(words: str) -> str:
-        out = f"trim({words})"
+        out = f"(' ' || trim({words}) || ' ')"
         for old, new in license_scan.EQUIVALENT:
-            out = f"replace({out}, {lit(old)}, {lit(new)})"
-        return out
+            out = f"replace({out}, {lit(' ' + old)}, {lit(' ' + new)})"
+        return f"trim({out})"
 
     def one_line(form: str) -> str:
         return spelled(f"regexp_replace({form}, '[ \\n]+', ' ', 'g')")
