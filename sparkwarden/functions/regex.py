@@ -45,7 +45,7 @@ def any_of(patterns: list[str]) -> str:
 
 def first_line_of(content: Column, pattern: str) -> Column:
     """1-based line of the first match (null if there is none)."""
-    before = F.substring_index(F.regexp_replace(F.concat(content, F.lit("\x00")), f"(?s){_inner(pattern)}.*$", "\x01"), "\x01", 1)
+    before = F.regexp_replace(content, f"(?s){_inner(pattern)}.*\\z", "")
     line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
     return F.when(content.rlike(pattern), line).cast("int")
 

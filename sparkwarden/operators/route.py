@@ -157,7 +157,7 @@ def scored(docs: DataFrame, scanners: tuple[Scanner, ...] = SCANNERS) -> DataFra
 def route(docs: DataFrame, mode: str = "route", overrides: dict[str, str] | None = None, available: tuple[str, ...] | None = None, enabled: tuple[str, ...] = (), disabled: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``scanners``: the names of the scanners that look at each row.
 
-    ``overrides`` map a path (or its end) to a scanner, the first that fits
+    ``overrides`` map a path (or its last folders and name) to a scanner, the first that fits
     winning over any confidence; ``available`` lists tools at hand (None: all).
     """
     use = [s for s in SCANNERS if (not enabled or s.name in enabled) and s.name not in disabled and (available is None or s.built_in or s.tool in available)]
@@ -169,7 +169,7 @@ def route(docs: DataFrame, mode: str = "route", overrides: dict[str, str] | None
     else:
         raise ValueError(f"mode is route or all, not {mode!r}")
     for key, name in reversed(list((overrides or {}).items())):
-        chosen = F.when(F.col("path").endswith(key), F.array(F.lit(name))).otherwise(chosen)
+        chosen = F.when((F.col("path") == key) | F.col("path").endswith("/" + key.lstrip("/")), F.array(F.lit(name))).otherwise(chosen)
     return rows.withColumn("scanners", chosen).drop("options")
 
 

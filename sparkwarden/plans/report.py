@@ -143,14 +143,17 @@ def to_html(findings: DataFrame, limit: int = 1000) -> str:
     colour = "#2e7d32" if score >= 90 else "#f9a825" if score >= 70 else "#c62828"
     cards = "".join(f"<li class='{name.lower()}'>{name}: {counts.get(name, 0)}</li>" for name, _, _ in SEVERITIES)
     cells = "".join("<tr>" + "".join(f"<td>{html.escape(str('' if v is None else v))}</td>" for v in (r["severity"], r["path"], r["line"], r["rule_id"], r["message"], r["code"])) + "</tr>" for r in rows)
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Security report</title></head><body><h1 style='color:{colour}'>{score:.2f} {summary['risk_level']}</h1><ul>{cards}</ul><table><tr><th>Severity</th><th>File</th><th>Line</th><th>Rule</th><th>Finding</th><th>Code</th></tr>{cells}</table></body></html>"
+    more = summary["total_issues"] - len(rows)
+    rest = f"<p>and {more} more</p>" if more else ""
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Security report</title></head><body><h1 style='color:{colour}'>{score:.2f} {summary['risk_level']}</h1><ul>{cards}</ul><table><tr><th>Severity</th><th>File</th><th>Line</th><th>Rule</th><th>Finding</th><th>Code</th></tr>{cells}</table>{rest}</body></html>"
 
 
 def to_sarif(findings: DataFrame, limit: int = 10_000) -> str:
-    """The same findings as a SARIF log."""
+    """The same findings as a SARIF log: the ``limit`` most severe, and how many more there are."""
+    total = findings.count()
     level = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "note", "INFO": "note"}
     results = [{"ruleId": r["rule_id"], "level": level.get(r["severity"], "none"), "message": {"text": r["message"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["path"]}, "region": {"startLine": r["line"] or 1}}}]} for r in ranked(findings).limit(limit).collect()]
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "sparkwarden"}}, "results": results}]})
+    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "sparkwarden"}}, "results": results, "properties": {"findings": total, "omitted": total - len(results)}}]})
 
 
 def imported_linter_json(spark: SparkSession, path: str) -> DataFrame:
