@@ -7,7 +7,7 @@ id, or the same id and an earlier line number) is alike, kept or not.
 
 1. One pass over the texts makes each line's tokens and stores, of its set
    ordered by hash, a slice a little longer than its prefix, the set's size and
-   digests, and a 64-bit bitmap.
+   digests, and two 64-bit bitmaps.
 2. Tokens of all slices are counted in a fixed number of hash buckets; the
    fullest sixteenth of the buckets is frequent.  Tokens are ordered by rarity:
    the others first, by hash, then frequent ones by their bucket's count.  Where
@@ -19,9 +19,10 @@ id, or the same id and an earlier line number) is alike, kept or not.
    equal set can be alike.
 5. Each class is first held against the earliest class it shares a prefix token
    with, which settles groups of near copies with one comparison a class.  Only
-   classes that are then left meet all earlier ones on their prefix tokens;
-   length and bitmap filters, and a positional one on the number of prefix tokens
-   in common, bound the overlap.
+   classes that are then left meet all earlier ones on their prefix tokens.
+   Length and bitmap filters and a positional one (no more tokens can be in
+   common than either set has from the meeting token on) bound the overlap
+   before a pair is made.
 6. What remains is verified on the full sets, which are made again for the first
    lines of the candidate classes only.
 7. A class goes if an alike class starts earlier; other classes keep their
@@ -93,9 +94,14 @@ def _light(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _bit(t: Column) -> Column:
-    """One of 64 bits for a token."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+def _parity(tokens: Column, half: int) -> Column:
+    """Parities of the tokens at 64 bits; each token counts in one of two halves."""
+
+    def bit(t: Column) -> Column:
+        own = F.shiftright(t if half else F.bitwise_not(t), 6).bitwiseAND(F.lit(1))
+        return F.call_function("shiftleft", own, t.bitwiseAND(F.lit(63)).cast("int"))
+
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(bit(t)))
 
 
 def _least_overlap(n: Column, num: int, den: int) -> Column:
@@ -113,12 +119,12 @@ def token_set(line: Column) -> Column:
 
 
 def _sliced(lines: DataFrame) -> DataFrame:
-    """(id, row, at, uid, d1, d2, n, bits, slice) of every line; uid is its own, whatever is repeated."""
+    """(id, row, at, uid, d1, d2, n, bits, bits2, slice) of every line; uid is its own, whatever is repeated."""
     sets = lines.select("id", "row", "at", token_set(F.col("line")).alias("set"))
     n, near = F.size("set"), F.size("set") > _EQUAL_ONLY
-    parity = F.aggregate("set", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(_bit(t)))
+    bits = [F.when(near, _parity(F.col("set"), half)).alias(name) for half, name in enumerate(["bits", "bits2"])]
     some = F.slice("set", F.lit(1), _prefix_size(n) + F.floor(_prefix_size(n) / 4).cast("int") + 2)
-    return sets.select("id", "row", "at", F.monotonically_increasing_id().alias("uid"), F.xxhash64("set").alias("d1"), F.hash("set").alias("d2"), n.alias("n"), F.when(near, parity).alias("bits"), F.when(near, some).alias("slice"))
+    return sets.select("id", "row", "at", F.monotonically_increasing_id().alias("uid"), F.xxhash64("set").alias("d1"), F.hash("set").alias("d2"), n.alias("n"), *bits, F.when(near, some).alias("slice"))
 
 
 def frequent(full: DataFrame) -> Column:
@@ -146,7 +152,7 @@ def _by_rarity(tokens: Column, often: Column) -> tuple[Column, Column]:
 
 
 def _prefixes(whole_lines: Callable[[DataFrame], DataFrame], reps: DataFrame, often: Column) -> DataFrame:
-    """(id, at, n, bits, prefix) of the representatives, prefixes in order of rarity.
+    """(id, at, n, bits, bits2, prefix) of the representatives, prefixes in order of rarity.
 
     A prefix may be null here if the line has another row with its prefix.
     ``whole_lines`` makes the lines of the documents with the given ids.
@@ -154,16 +160,16 @@ def _prefixes(whole_lines: Callable[[DataFrame], DataFrame], reps: DataFrame, of
     size = _prefix_size(F.col("n"))
     rare, hits = _by_rarity(F.col("slice"), often)
     part = F.size("slice") < F.col("n")
-    again = reps.where(part & (F.size(rare) < size)).select("id", "row", "at", "n", "bits")
+    again = reps.where(part & (F.size(rare) < size)).select("id", "row", "at", "n", "bits", "bits2")
     again = stored(again.dropDuplicates(["id", "row", "at"]), "line-again")
     # The one-entry array names the rare tokens, so that they are found once.
     prefix = F.transform(F.array(rare), lambda r: F.when(F.size(r) >= size, F.slice(r, F.lit(1), size)).when(~part, F.slice(F.concat(r, hits), F.lit(1), size)))
-    out = reps.select("id", "at", "n", "bits", F.get(prefix, 0).alias("prefix"))
+    out = reps.select("id", "at", "n", "bits", "bits2", F.get(prefix, 0).alias("prefix"))
     if again.isEmpty():
         return out
     found = whole_lines(again).join(_light(again), ["id", "row", "at"]).distinct().withColumn("set", token_set(F.col("line")))
     rare, hits = _by_rarity(F.col("set"), often)
-    found = found.select("id", "at", "n", "bits", F.slice(F.concat(rare, hits), F.lit(1), size).alias("prefix"))
+    found = found.select("id", "at", "n", "bits", "bits2", F.slice(F.concat(rare, hits), F.lit(1), size).alias("prefix"))
     return out.unionByName(stored(found, "line-prefixes"))
 
 
@@ -174,26 +180,41 @@ def _representatives(full: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def _met(prefixes: DataFrame) -> DataFrame:
-    """(token, id, at, n, bits, first) of each class and prefix token that another class has in its prefix.
+    """(token, id, at, n, bits, bits2, left, first) of each class and prefix token that another class has in its prefix.
 
-    ``first`` is the token's earliest class, with its size and bitmap.
+    ``left`` is how many tokens the set has from this one on, in the order of
+    tokens; ``first`` is the token's earliest class, with its size, bitmaps and rest.
     """
-    posts = prefixes.select("id", "at", "n", "bits", F.explode("prefix").alias("token"))
+    posts = prefixes.select("id", "at", "n", "bits", "bits2", F.posexplode("prefix").alias("pos", "token"))
     # Line number and size share a long on the way.
-    posts = posts.select("token", "id", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("an"), "bits")
+    packed = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    posts = posts.select("token", "id", packed.alias("an"), "bits", "bits2", (F.col("n") - F.col("pos")).alias("left"))
     own = Window.partitionBy("token")
-    ranked = posts.withColumns({"k": F.count(F.lit(1)).over(own), "first": F.min(F.struct("id", "an", "bits")).over(own)}).where("k > 1")
+    ranked = posts.withColumns({"k": F.count(F.lit(1)).over(own), "first": F.min(F.struct("id", "an", "bits", "bits2", "left")).over(own)}).where("k > 1")
+
+    def apart(of: str) -> list[Column]:
+        an = F.col(f"{of}an")
+        return [F.col(f"{of}id").alias("id"), F.shiftright(an, 32).cast("int").alias("at"), an.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n"), *[F.col(of + c).alias(c) for c in ("bits", "bits2", "left")]]
+
+    return ranked.select("token", *apart(""), F.struct(*apart("first.")).alias("first"))
 
-    def apart(id_: str, an: str, bits: str) -> list[Column]:
-        return [F.col(id_).alias("id"), F.shiftright(an, 32).cast("int").alias("at"), F.col(an).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n"), F.col(bits).alias("bits")]
 
-    return ranked.select("token", *apart("id", "an", "bits"), F.struct(*apart("first.id", "first.an", "first.bits")).alias("first"))
+def _near(a: str, b: str) -> Column:
+    """Whether sizes, bitmaps and rests from a common token on allow a similarity of 8/10.
 
+    The sets differ in a ninth of their sizes' sum or less.  Alike sets meet at
+    their first common token too, which both have in their prefixes, and from
+    there on each has all that is in common.
+    """
+
+    def both(name: str) -> tuple[Column, Column]:
+        return F.col(f"{a}{name}"), F.col(f"{b}{name}")
 
-def _near(n1: Column, bits1: Column, n2: Column, bits2: Column) -> Column:
-    """Whether sizes and bitmaps allow a similarity of 8/10: the sets differ in a ninth of their sizes' sum or less."""
-    differ = F.bit_count(bits1.bitwiseXOR(bits2)) * (NUM + DEN) <= (n1 + n2) * (DEN - NUM)
-    return (F.least(n1, n2) * DEN >= F.greatest(n1, n2) * NUM) & differ
+    n1, n2 = both("n")
+    odd = [F.bit_count(x.bitwiseXOR(y)) for x, y in (both("bits"), both("bits2"))]
+    differ = (odd[0] + odd[1]) * (NUM + DEN) <= (n1 + n2) * (DEN - NUM)
+    enough = F.least(*both("left")) * (NUM + DEN) >= (n1 + n2) * NUM
+    return (F.least(n1, n2) * DEN >= F.greatest(n1, n2) * NUM) & enough & differ
 
 
 def _place(at: str) -> Column:
@@ -204,24 +225,15 @@ def _earliest_pairs(met: DataFrame) -> DataFrame:
     """(e, l): each class's place with the earliest place it meets and may be alike to."""
     first = F.struct(F.col("first.id").alias("id"), F.col("first.at").alias("at"))
     own = F.struct("id", "at")
-    return met.where((first < own) & _near(F.col("n"), F.col("bits"), F.col("first.n"), F.col("first.bits"))).groupBy(own.alias("l")).agg(F.min(first).alias("e"))
+    return met.where((first < own) & _near("", "first.")).groupBy(own.alias("l")).agg(F.min(first).alias("e"))
 
 
 def _pairs(met: DataFrame, settled: DataFrame) -> DataFrame:
-    """(e, l): all other pairs of places that the filters leave, l not among the settled ones.
-
-    Of two prefixes, the one that ends first in the order of tokens holds all
-    common tokens up to its end; so the sets have no more in common than that
-    count and the larger rest of a set behind its prefix.
-    """
+    """(e, l): all other pairs of places that the filters leave, l not among the settled ones."""
     posts = met.drop("first")
     e, l = posts.alias("e"), posts.join(_light(settled), ["id", "at"], "left_anti").alias("l")
-    earlier = _place("e") < _place("l")
-    ne, nl = F.col("e.n"), F.col("l.n")
-    both = e.join(l, F.col("e.token") == F.col("l.token")).where(earlier & _near(ne, F.col("e.bits"), nl, F.col("l.bits")))
-    rest = F.greatest(ne - _prefix_size(ne), nl - _prefix_size(nl))
-    counted = both.groupBy(_place("e").alias("e"), _place("l").alias("l"), (_least_overlap(ne + nl, NUM, NUM + DEN) - rest).alias("needed")).agg(F.count(F.lit(1)).alias("common"))
-    return counted.where("common >= needed").select("e", "l")
+    both = e.join(l, (F.col("e.token") == F.col("l.token")) & (_place("e") < _place("l")) & _near("e.", "l."))
+    return both.select(_place("e").alias("e"), _place("l").alias("l")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
