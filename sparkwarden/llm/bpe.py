@@ -123,6 +123,10 @@ class Codec:
             self.cache[word] = found
         return found
 
+    def forget(self) -> None:
+        """Lets go of the folded words, so that an idle worker holds ranks only."""
+        self.cache, self.older = {}, {}
+
     def text(self, text: str) -> tuple[int, str, bytes]:
         """Number of ids, the ids as text, and the bytes they decode to."""
         get, word = self.cache.get, self.word
@@ -134,7 +138,7 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """One codec a worker, kept between tasks."""
+    """One codec a worker; its ranks are kept between tasks, its words within one."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern)
     return _codecs[path, pattern]
@@ -149,6 +153,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             found = [c.text(t or "") for t in batch["text"]]
             ids = [[int(i) for i in f[1].split(",")] if f[0] else [] for f in found]
             yield pd.DataFrame({"id": batch["id"], "n_tokens": [f[0] for f in found], "ids": ids, "decoded": [f[2] for f in found]})
+        c.forget()
 
     return _mapped(docs, run, "n_tokens long, ids array<int>, decoded binary", id_col, text_col)
 
@@ -166,6 +171,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "id", batch["id"])
             yield out
+        c.forget()
 
     return _mapped(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
 
