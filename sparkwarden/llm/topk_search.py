@@ -2,13 +2,18 @@
 
 Each vector is cut into segments; the mean and deviation of every segment bound
 the inner product of two vectors from above (and so their distance from below):
-within a segment of length n it is at most ``n * (m1 * m2 + s1 * s2)``.  Bounds
-go from one segment to finer ones; what still could enter the top k is scored
-exactly in integers.
+within a segment of length n it is at most ``n * (m1 * m2 + s1 * s2)``.  What
+still could enter the top k is scored exactly in integers.
 
-Vectors are packed into blocks of bounded size on both sides, blocks of
-candidates are dealt over groups, and each group meets all blocks of queries;
-per pair of blocks only k rows a query remain, then a window keeps the best k.  No side is broadcast or collected.
+Candidates are dealt over groups of bounded bytes by a hash of their components,
+so that equal vectors meet; of those only rows that can be among the k best stay.
+Each group meets all blocks of queries, which are copied to every group; no side
+is broadcast or collected.  A group's candidates are taken by tiles, in order of
+their ids.  The range of a tile's statistics bounds all of it for a query, at 1,
+4 and 16 segments; queries that a tile can't improve skip it.  For the others,
+bounds of single pairs go first at the level that costs least by a probe, if any
+costs less than the scores; else the tile is scored.  Scores are products of
+matrices in the narrowest type that holds every partial sum exactly.
 
 Defined results: null vectors, vectors holding null, NaN or an infinity, and
 rows without an id take no part.  Vectors of another length than the query's
@@ -23,85 +28,247 @@ table gives an empty result; a query without candidates gives no row.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from operator import mul
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BLOCK = "block long, dim int, n int, ids binary, data binary"
+_BLOCK = "part int, kind int, dim int, narrow boolean, ids binary, data binary"
+_FOUND = "query_id long, vec_id long, score long, beyond string"
+_FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.string())])
+_BLOCK_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("dim", pa.int32()), ("narrow", pa.bool_()), ("ids", pa.binary()), ("data", pa.binary())])
+#: Bytes of 16-bit components that a group of candidates holds, about.
+GROUP_BYTES = 64 << 20
+#: Rows of a tile; the first, which gives the first thresholds, has half as many.
+_TILE = 1024
+_LEVELS = (1, 4, 16)
+#: Cost of scoring one surviving pair by itself, in components of a matrix product.
+_SINGLE = 2500
 #: Bound of the sums of products that 64-bit integers hold; beyond it Python's integers take over.
 _NARROW = 2.0**62
 _LONG = (1 << 63) - 1
 
 
-def _pack(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v) as blocks of at most ``size`` equal-length vectors."""
+def _trim(ids: np.ndarray, data: np.ndarray, k: int) -> np.ndarray:
+    """Rows, in order of their ids, without copies of a vector that can't be among the k best.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
+    Of equal vectors the k + 1 smallest ids stay, as one may be the query's own,
+    and of one id k rows.
+    """
+    whole = np.ascontiguousarray(data).view(np.dtype((np.void, data.shape[1] * data.itemsize))).ravel()
+    by_id = np.argsort(ids, kind="stable")
+    _, kind, copies = np.unique(whole[by_id], return_inverse=True, return_counts=True)
+    if copies.max() <= k:
+        return by_id
+    order = np.argsort(kind, kind="stable")
+    kind, own = kind[order], ids[by_id][order]
+    new_kind = np.append(True, kind[1:] != kind[:-1])
+    new_id = new_kind | np.append(True, own[1:] != own[:-1])
+    at = np.arange(len(own))
+    nth_row = at - np.maximum.accumulate(np.where(new_id, at, 0))
+    id_number = np.cumsum(new_id)
+    nth_id = id_number - np.maximum.accumulate(np.where(new_kind, id_number, 0))
+    return by_id[np.sort(order[(nth_id <= k) & (nth_row < k)])]
 
-        def emit(dim: int) -> pd.DataFrame:
-            ids, vectors = zip(*held.pop(dim))
-            ids, data = np.array(ids, dtype=np.int64), np.array(vectors, dtype=np.float64)
-            return pd.DataFrame({"block": [int(ids[0])], "dim": [dim], "n": [len(ids)], "ids": [ids.tobytes()], "data": [data.tobytes()]})
 
-        for batch in batches:
-            for i, v in zip(batch["id"], batch["v"]):
-                rows_of = held.setdefault(len(v), [])
-                rows_of.append((i, np.asarray(v, dtype=np.float64)))
-                if len(rows_of) >= size:
-                    yield emit(len(v))
-        for dim in list(held):
-            yield emit(dim)
-
-    return rows.mapInPandas(run, _BLOCK)
-
-
-def _statistics(x: np.ndarray, segments: int) -> np.ndarray:
-    """Segment means and deviations, scaled so that a dot product is the bound."""
-    n, dim = x.shape
-    cuts = np.linspace(0, dim, segments + 1).astype(int)
-    out = np.empty((n, 2 * segments))
-    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        part = x[:, a:b]
-        root = np.sqrt(b - a)
-        out[:, i] = part.mean(axis=1) * root
-        out[:, segments + i] = part.std(axis=1) * root
+def _pack(rows: DataFrame, kind: int, parts: int, k: int, scale: int, size: int) -> DataFrame:
+    """Rows (id, v) as blocks of equal-length vectors: candidates (kind 0) by part, queries (kind 1) of at most ``size``.
+
+    Components are floor(scale * x) in 16 bits (narrow) if all of a vector's fit, else as they were.
+    """
+
+    def blocks(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
+        dim = x.shape[1]
+        scaled = np.floor(x * scale)
+        fits = (np.abs(scaled) < 2**15).all(axis=1) if dim else np.zeros(len(x), dtype=bool)
+        for narrow, rows_of, values in ((True, fits, scaled), (False, ~fits, x)):
+            own, data = ids[rows_of], values[rows_of].astype(np.int16 if narrow else np.float64)
+            if not len(own):
+                continue
+            if kind:
+                for a in range(0, len(own), size):
+                    yield 0, kind, dim, narrow, own[a : a + size].tobytes(), data[a : a + size].tobytes()
+                continue
+            if dim:
+                left = _trim(own, data, k)
+                own, data = own[left], data[left]
+            digest = _digest(data)
+            part = (digest % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cuts)):
+                at = order[cuts[p] : cuts[p + 1]]
+                yield int(p), kind, dim, narrow, own[at].tobytes(), data[at].tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _by_length(batches, size if kind else 1):
+            with np.errstate(over="ignore"):
+                made = list(blocks(ids, x))
+            for a in range(0, len(made), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*made[a : a + 64]), _BLOCK_ARROW)], schema=_BLOCK_ARROW)
+
+    return rows.mapInArrow(run, _BLOCK)
+
+
+def _digest(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row."""
+    out = np.full(len(data), 0x9E3779B97F4A7C15, dtype=np.uint64)
+    for column in (data.view(np.uint16) if data.dtype == np.int16 else data.view(np.uint64)).T:
+        out = (out ^ column.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
     return out
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact best k of ``x`` for every row of ``q``: query id, id and score arrays."""
-    dim = x.shape[1]
-    levels = [s for s in (1, 4, 16) if s <= dim]
-    xf, qf = x.astype(np.float64), q.astype(np.float64)
-    xs, qs = [_statistics(xf, s) for s in levels], [_statistics(qf, s) for s in levels]
-    out: tuple[list, list, list] = ([], [], [])
-    slack = 1e-9 * (1 + np.abs(xf).max(initial=0) * np.abs(qf).max(initial=0) * dim)
-    coarse = qs[0] @ xs[0].T if levels else None
-    for i in range(len(q)):
-        left = np.flatnonzero(ids != q_ids[i])
-        if levels and len(left) > k:
-            bound = qs[-1][i] @ xs[-1].T if len(levels) == 1 else None
-            # The k candidates of the best coarse bounds give a first threshold.
-            first = left[np.argpartition(-coarse[i, left], k - 1)[:k]]
-            least = np.partition(x[first] @ q[i], 0)[0]
-            left = left[coarse[i, left] + slack >= least]
-            for level in range(1, len(levels)):
-                bound = xs[level][left] @ qs[level][i]
-                if len(left) > k:
-                    best = left[np.argpartition(-bound, k - 1)[:k]]
-                    least = max(least, np.partition(x[best] @ q[i], 0)[0])
-                left = left[bound + slack >= least]
-        scores = x[left] @ q[i]
-        order = np.lexsort((ids[left], -scores))[:k]
-        out[0].append(np.full(len(order), q_ids[i]))
-        out[1].append(ids[left][order])
-        out[2].append(scores[order])
-    return tuple(np.concatenate(o) if o else np.zeros(0, dtype=np.int64) for o in out)
+def _by_length(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and float64 matrices of the sound vectors, by length, gathered to ``least`` rows where there are so many."""
+    held: dict[int, list] = {}
+
+    def emit(dim: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, parts = zip(*held.pop(dim))
+        return np.concatenate(ids), np.concatenate(parts)
+
+    for batch in batches:
+        ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        flat = lists.flatten()
+        null = np.asarray(flat.is_null()) if flat.null_count else None
+        values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        bad = ~np.isfinite(values)
+        if null is not None:
+            bad |= null
+        for dim in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == dim)
+            at = starts[rows][:, None] + np.arange(dim)
+            rows_sound = ~bad[at].any(axis=1)
+            if rows_sound.any():
+                held.setdefault(dim, []).append((ids[rows][rows_sound], values[at[rows_sound]]))
+                if sum(len(i) for i, _ in held[dim]) >= least:
+                    yield emit(dim)
+    for dim in list(held):
+        yield emit(dim)
+
+
+def _statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segment means and deviations, each times the root of the length: their dot products add up to the bound."""
+    cuts = np.linspace(0, x.shape[1], segments + 1).astype(int)
+    n = np.diff(cuts)
+    mean = np.add.reduceat(x, cuts[:-1], axis=1) / n
+    square = np.add.reduceat(x * x, cuts[:-1], axis=1) / n
+    return mean * np.sqrt(n), np.sqrt(np.maximum(0, square - mean * mean) * n)
+
+
+def _where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what holds; faster than nonzero of a matrix where little does."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
+class Group:
+    """Candidates of one length in order of their ids, as whole numbers, with the statistics of their tiles."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, tile: int) -> None:
+        self.ids, self.x, n = ids, x, len(ids)
+        first = max(1, tile // 2)
+        self.tiles = [(0, min(first, n)), *((a, min(a + tile, n)) for a in range(first, n, tile))]
+        self.levels = [s for s in _LEVELS if 2 * s <= x.shape[1]] or [1]
+        self.norm = 0.0
+        ranges: list[list] = [[] for _ in self.levels]
+        for a, b in self.tiles:
+            part = x[a:b].astype(np.float64)
+            self.norm = max(self.norm, float(np.sqrt(np.einsum("ij,ij->i", part, part).max())))
+            for s, out in zip(self.levels, ranges):
+                mean, deviation = _statistics(part, s)
+                out.append(np.concatenate([mean.max(axis=0), mean.min(axis=0), deviation.max(axis=0)]))
+        self.ranges = [np.array(r) for r in ranges]
+
+    def tile_bounds(self, statistics: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """No candidate of a tile scores more with a query (queries x tiles)."""
+        found = [np.concatenate([np.maximum(m, 0), np.minimum(m, 0), d], axis=1) @ r.T for (m, d), r in zip(statistics, self.ranges)]
+        return np.minimum.reduce(found)
+
+    def best(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exact best k for every row of ``q`` (whole numbers): number of the row, id and score."""
+        qf = q.astype(np.float64)
+        reach = float(np.sqrt(np.einsum("ij,ij->i", qf, qf).max())) * self.norm
+        # By Cauchy and Schwarz no partial sum exceeds this, in whatever order it is made.
+        kind = np.float32 if reach < 2**23 else np.float64 if reach < 2**52 else np.int64
+        slack = 1e-4 * reach + 1
+        typed, nothing = q.astype(kind), (-np.inf if kind != np.int64 else np.iinfo(np.int64).min)
+        statistics = [_statistics(qf, s) for s in self.levels]
+        joint = [np.concatenate(s, axis=1) for s in statistics]
+        bounds = self.tile_bounds(statistics)
+        low, high = np.searchsorted(self.ids, q_ids, "left"), np.searchsorted(self.ids, q_ids, "right")
+        least = np.full(len(q), nothing, dtype=kind)
+        state = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=kind))
+        waiting: list[tuple] = []
+        level: int | None = -1
+        room = np.empty(len(q) * max(b - a for a, b in self.tiles), dtype=kind)
+
+        def merge() -> None:
+            nonlocal state
+            row, at, score = (np.concatenate(c) for c in zip(state, *waiting))
+            waiting.clear()
+            order = np.lexsort((at, -score, row))
+            row, at, score = row[order], at[order], score[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            kept = nth < k
+            state = (row[kept], at[kept], score[kept])
+            last = nth == k - 1
+            least[row[last]] = score[last]
+
+        for number, (a, b) in enumerate(self.tiles):
+            rows = np.flatnonzero(bounds[:, number] + slack > least)
+            if not len(rows):
+                continue
+            every = len(rows) == len(q)
+            part = self.x[a:b].astype(kind)
+            if number and level == -1:
+                level = self._probe(joint, part, rows, least, slack, q.shape[1])
+            if number and level is not None:
+                bound = joint[level][rows] @ np.concatenate(_statistics(part.astype(np.float64), self.levels[level]), axis=1).T
+                r, c = _where(bound + slack > least[rows][:, None])
+                r = rows[r]
+                score = np.concatenate([np.einsum("ij,ij->i", typed[r[i : i + 65536]], part[c[i : i + 65536]]) for i in range(0, len(r), 65536)] or [least[:0]])
+                better = (score > least[r]) & ((a + c < low[r]) | (a + c >= high[r]))
+                r, c, score = r[better], c[better], score[better]
+            else:
+                scores = room[: len(rows) * (b - a)].reshape(len(rows), b - a)
+                np.matmul(typed if every else typed[rows], part.T, out=scores)
+                for i in np.flatnonzero((low[rows] < b) & (high[rows] > a) & (low[rows] < high[rows])):
+                    scores[i, max(low[rows[i]] - a, 0) : high[rows[i]] - a] = nothing
+                if not number and b > k:
+                    floor = np.partition(scores, b - k, axis=1)[:, b - k]
+                    r, c = _where((scores >= floor[:, None]) & (scores > nothing))
+                    score = scores[r, c]
+                else:
+                    some = np.flatnonzero(scores.max(axis=1) > least[rows])
+                    scores = scores[some]
+                    r, c = _where(scores > least[rows[some]][:, None])
+                    score, r = scores[r, c], some[r]
+                r = rows[r]
+            if len(r):
+                waiting.append((r, a + c, score))
+            if waiting and (not number or sum(len(w[0]) for w in waiting) > len(q)):
+                merge()
+        if waiting:
+            merge()
+        row, at, score = state
+        return row, self.ids[at], score.astype(np.int64)
+
+    def _probe(self, joint: list[np.ndarray], part: np.ndarray, rows: np.ndarray, least: np.ndarray, slack: float, dim: int) -> int | None:
+        """The level whose bounds and survivors cost least; None if scoring all pairs costs less."""
+        some = rows[:: max(1, len(rows) // 64)]
+        costs = [float(dim)]
+        for s, own in zip(self.levels, joint):
+            bound = own[some] @ np.concatenate(_statistics(part.astype(np.float64), s), axis=1).T
+            # Bounds are in doubles, which take twice as long, and each tile's statistics are made again.
+            costs.append(8 + 4 * s + _SINGLE * float((bound + slack > least[some][:, None]).mean()))
+        cheapest = int(np.argmin(costs))
+        return cheapest - 1 if cheapest else None
 
 
 def _wide(v: np.ndarray, scale: int) -> np.ndarray:
@@ -120,43 +287,81 @@ def _magnitude(score: int) -> str | None:
     return f"0{999_999 - len(digits):06d}" + "".join(str(9 - int(c)) for c in digits)
 
 
-def _searched(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, scale: int) -> pd.DataFrame:
-    """Best k of a block for each query of another: by bounds where 64 bits hold all scores, else one by one."""
-    with np.errstate(over="ignore"):
-        qw, xw = np.floor(q * scale), np.floor(x * scale)
+class _Held:
+    """The candidates of one group and length: narrow ones together, others block by block."""
+
+    def __init__(self, tile: int) -> None:
+        self.tile = tile
+        self.narrow: list[tuple] = []
+        self.wide: list[tuple] = []
+        self.group: Group | None = None
+
+    def add(self, narrow: bool, ids: np.ndarray, x: np.ndarray) -> None:
+        (self.narrow if narrow else self.wide).append((ids, x))
+
+    def search(self, narrow: bool, q_ids: np.ndarray, q: np.ndarray, k: int, scale: int) -> Iterator[pa.RecordBatch]:
+        if self.narrow and self.group is None:
+            ids, x = (np.concatenate(c) for c in zip(*self.narrow))
+            self.narrow[1:] = []
+            order = _trim(ids, x, k)
+            self.group = Group(ids[order], x[order], self.tile)
+            self.narrow[0] = (self.group.ids, self.group.x)
+        if self.group is not None and narrow:
+            yield _found(q_ids, *self.group.best(q_ids, q, k))
+        others = self.wide if narrow else [*((*n, True) for n in self.narrow), *self.wide]
+        for ids, x, *small in others:
+            yield _searched(q_ids, q, narrow, ids, x, bool(small), k, scale, self.tile)
+
+
+def _found(q_ids: np.ndarray, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids), pa.array(score), pa.nulls(len(ids), pa.string())], schema=_FOUND_ARROW)
+
+
+def _searched(q_ids: np.ndarray, q: np.ndarray, q_narrow: bool, ids: np.ndarray, x: np.ndarray, x_narrow: bool, k: int, scale: int, tile: int) -> pa.RecordBatch:
+    """Best k of a block of which not all fits 16 bits: by bounds where 64 bits hold all scores, else one by one."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        qw, xw = (v.astype(np.float64) if small else np.floor(v * scale) for v, small in ((q, q_narrow), (x, x_narrow)))
         room = max(1, q.shape[1]) * np.abs(qw).max(initial=1) * np.abs(xw).max(initial=1)
-    if room < _NARROW:
-        a, b, c = search_block(q_ids, qw.astype(np.int64), ids, xw.astype(np.int64), k)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": c, "beyond": None})
-    rows, qw, xw = [], _wide(q, scale), _wide(x, scale)
+    if room < _NARROW and q.shape[1]:
+        order = np.argsort(ids, kind="stable")
+        return _found(q_ids, *Group(ids[order], xw[order].astype(np.int64), tile).best(q_ids, qw.astype(np.int64), k))
+    qw, xw = (v.astype(object) if small else _wide(v, scale) for v, small in ((q, q_narrow), (x, x_narrow)))
+    rows = []
     for i, own in enumerate(q_ids.tolist()):
-        scores = [(-sum(map(mul, qw[i], v)), other) for other, v in zip(ids.tolist(), xw) if other != own]
+        scores = [(-sum(map(mul, map(int, qw[i]), map(int, v))), other) for other, v in zip(ids.tolist(), xw) if other != own]
         rows += [(own, other, max(-_LONG, min(_LONG, -s)), _magnitude(-s)) for s, other in heapq.nsmallest(k, scores)]
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score", "beyond"])
+    columns = zip(*rows) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _FOUND_ARROW)], schema=_FOUND_ARROW)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 1024, block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 1024, block: int = _TILE, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best candidates."""
-    v = F.col(vector_col)
-    sound = v.isNotNull() & F.col(id_col).isNotNull() & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    rows = vectors.where(sound)
-    kept = rows.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"))
-    asked = rows.where(is_query).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v")).distinct()
-    # Blocks of candidates are dealt over groups; each group gets all blocks of queries.
-    groups = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    data = _pack(kept, block).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    queries = _pack(asked, query_block).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("q_group"))
-    pairs = data.join(queries, (data["dim"] == queries["q_dim"]) & (data["group"] == queries["q_group"]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spark = vectors.sparkSession
+    kind = vectors.select(F.col(vector_col).alias("v")).schema["v"].dataType.elementType.simpleString()
+    v = F.col(vector_col) if kind in ("float", "double") else F.col(vector_col).cast("array<double>")
+    known = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
+    own = [F.col(id_col).cast("long").alias("id"), v.alias("v")]
+    held = known.agg(F.sum(F.size(F.col(vector_col)).cast("long")).alias("n")).first()["n"] or 0
+    parts = max(2 * spark.sparkContext.defaultParallelism, math.ceil(2 * held / group_bytes))
+    data = _pack(known.select(*own), 0, parts, k, scale, 0)
+    asked = _pack(known.where(is_query).select(*own).distinct(), 1, parts, k, scale, query_block)
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = data.unionByName(asked).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held_of = None, {}
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                ids, q_ids = np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.q_ids, dtype=np.int64)
-                x = np.frombuffer(r.data, dtype=np.float64).reshape(len(ids), r.dim)
-                q = np.frombuffer(r.q_data, dtype=np.float64).reshape(len(q_ids), r.dim)
-                yield _searched(q_ids, q, ids, x, k, scale)
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if r[0] != part:
+                    part, held_of = r[0], {}
+                ids = np.frombuffer(r[4], dtype=np.int64)
+                x = np.frombuffer(r[5], dtype=np.int16 if r[3] else np.float64).reshape(len(ids), r[2])
+                if r[1] == 0:
+                    held_of.setdefault(r[2], _Held(block)).add(r[3], ids, x)
+                elif r[2] in held_of:
+                    yield from held_of[r[2]].search(r[3], ids, x, k, scale)
 
-    found = pairs.mapInPandas(run, "query_id long, vec_id long, score long, beyond string")
+    found = met.mapInArrow(run, _FOUND)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
