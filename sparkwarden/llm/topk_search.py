@@ -10,7 +10,9 @@ so that equal vectors meet; of those only rows that can be among the k best stay
 Each group meets all blocks of queries, which are copied to every group; no side
 is broadcast or collected.  A group's candidates are taken by tiles, in order of
 their ids.  The range of a tile's statistics bounds all of it for a query, at 1,
-4 and 16 segments; queries that a tile can't improve skip it.  For the others,
+4 and 16 segments; queries that a tile can't improve skip it.  Where there are
+several groups, a sample of candidates of bounded bytes gives each query its
+first threshold, so that a group doesn't start from nothing.  For the others,
 bounds of single pairs go first at the level that costs least by a probe, if any
 costs less than the scores; else the tile is scored.  Scores are products of
 matrices in the narrowest type that holds every partial sum exactly.
@@ -34,17 +36,22 @@ from operator import mul
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BLOCK = "part int, kind int, dim int, narrow boolean, ids binary, data binary"
+_BLOCK = "part int, kind int, dim int, narrow boolean, ids binary, data binary, floor binary"
 _FOUND = "query_id long, vec_id long, score long, beyond string"
 _FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.string())])
-_BLOCK_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("dim", pa.int32()), ("narrow", pa.bool_()), ("ids", pa.binary()), ("data", pa.binary())])
+_BLOCK_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("dim", pa.int32()), ("narrow", pa.bool_()), ("ids", pa.binary()), ("data", pa.binary()), ("floor", pa.binary())])
 #: Bytes of 16-bit components that a group of candidates holds, about.
 GROUP_BYTES = 64 << 20
+#: Bytes of 16-bit components, about, of the sampled candidates that give queries their first thresholds.
+SEED_BYTES = 8 << 20
 #: Rows of a tile; the first, which gives the first thresholds, has half as many.
 _TILE = 1024
+#: Queries whose scores with a tile are made at a time.
+_ROWS = 256
 _LEVELS = (1, 4, 16)
 #: Cost of scoring one surviving pair by itself, in components of a matrix product.
 _SINGLE = 2500
@@ -75,11 +82,24 @@ def _trim(ids: np.ndarray, data: np.ndarray, k: int) -> np.ndarray:
     return by_id[np.sort(order[(nth_id <= k) & (nth_row < k)])]
 
 
-def _pack(rows: DataFrame, kind: int, parts: int, k: int, scale: int, size: int) -> DataFrame:
+def _pack(rows: DataFrame, kind: int, parts: int, k: int, scale: int, size: int, seeds: Broadcast | None = None) -> DataFrame:
     """Rows (id, v) as blocks of equal-length vectors: candidates (kind 0) by part, queries (kind 1) of at most ``size``.
 
     Components are floor(scale * x) in 16 bits (narrow) if all of a vector's fit, else as they were.
+    Narrow queries carry a floor: one less than their k-th best score among ``seeds``, which are candidates too.
     """
+    groups: dict[int, Group] = {}
+
+    def floors(dim: int, ids: np.ndarray, q: np.ndarray) -> bytes | None:
+        if seeds is None or dim not in seeds.value:
+            return None
+        if dim not in groups:
+            groups[dim] = Group(*seeds.value[dim], _TILE)
+        row, _, score = groups[dim].best(ids, q, k)
+        last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+        out = np.full(len(ids), np.iinfo(np.int64).min)
+        out[row[last]] = score[last] - 1
+        return out.tobytes()
 
     def blocks(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
         dim = x.shape[1]
@@ -91,7 +111,8 @@ def _pack(rows: DataFrame, kind: int, parts: int, k: int, scale: int, size: int)
                 continue
             if kind:
                 for a in range(0, len(own), size):
-                    yield 0, kind, dim, narrow, own[a : a + size].tobytes(), data[a : a + size].tobytes()
+                    some, q = own[a : a + size], data[a : a + size]
+                    yield 0, kind, dim, narrow, some.tobytes(), q.tobytes(), floors(dim, some, q) if narrow else None
                 continue
             if dim:
                 left = _trim(own, data, k)
@@ -102,7 +123,7 @@ def _pack(rows: DataFrame, kind: int, parts: int, k: int, scale: int, size: int)
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[p] : cuts[p + 1]]
-                yield int(p), kind, dim, narrow, own[at].tobytes(), data[at].tobytes()
+                yield int(p), kind, dim, narrow, own[at].tobytes(), data[at].tobytes(), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in _by_length(batches, size if kind else 1):
@@ -190,8 +211,11 @@ class Group:
         found = [np.concatenate([np.maximum(m, 0), np.minimum(m, 0), d], axis=1) @ r.T for (m, d), r in zip(statistics, self.ranges)]
         return np.minimum.reduce(found)
 
-    def best(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Exact best k for every row of ``q`` (whole numbers): number of the row, id and score."""
+    def best(self, q_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exact best k for every row of ``q`` (whole numbers): number of the row, id and score.
+
+        With ``floor``, scores of at most that, a whole number for every row, are left out.
+        """
         qf = q.astype(np.float64)
         reach = float(np.sqrt(np.einsum("ij,ij->i", qf, qf).max())) * self.norm
         # By Cauchy and Schwarz no partial sum exceeds this, in whatever order it is made.
@@ -202,11 +226,16 @@ class Group:
         joint = [np.concatenate(s, axis=1) for s in statistics]
         bounds = self.tile_bounds(statistics)
         low, high = np.searchsorted(self.ids, q_ids, "left"), np.searchsorted(self.ids, q_ids, "right")
+        seeded = floor is not None
         least = np.full(len(q), nothing, dtype=kind)
+        if seeded:
+            # No score is beyond the reach; what asks for more leaves all out either way, in whatever type.
+            least[:] = np.clip(floor, -int(reach) - 2, int(reach) + 2)
         state = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=kind))
         waiting: list[tuple] = []
         level: int | None = -1
-        room = np.empty(len(q) * max(b - a for a, b in self.tiles), dtype=kind)
+        widest = max(b - a for a, b in self.tiles)
+        room = np.empty(_ROWS * widest, dtype=kind)
 
         def merge() -> None:
             nonlocal state
@@ -224,7 +253,6 @@ class Group:
             rows = np.flatnonzero(bounds[:, number] + slack > least)
             if not len(rows):
                 continue
-            every = len(rows) == len(q)
             part = self.x[a:b].astype(kind)
             if number and level == -1:
                 level = self._probe(joint, part, rows, least, slack, q.shape[1])
@@ -236,29 +264,41 @@ class Group:
                 better = (score > least[r]) & ((a + c < low[r]) | (a + c >= high[r]))
                 r, c, score = r[better], c[better], score[better]
             else:
-                scores = room[: len(rows) * (b - a)].reshape(len(rows), b - a)
-                np.matmul(typed if every else typed[rows], part.T, out=scores)
-                for i in np.flatnonzero((low[rows] < b) & (high[rows] > a) & (low[rows] < high[rows])):
-                    scores[i, max(low[rows[i]] - a, 0) : high[rows[i]] - a] = nothing
-                if not number and b > k:
-                    floor = np.partition(scores, b - k, axis=1)[:, b - k]
-                    r, c = _where((scores >= floor[:, None]) & (scores > nothing))
-                    score = scores[r, c]
-                else:
-                    some = np.flatnonzero(scores.max(axis=1) > least[rows])
-                    scores = scores[some]
-                    r, c = _where(scores > least[rows[some]][:, None])
-                    score, r = scores[r, c], some[r]
-                r = rows[r]
+                # Few queries at a time, so that their scores are still in the processor's cache when they are compared.
+                some = [rows[i : i + _ROWS] for i in range(0, len(rows), _ROWS)]
+                found = [self._scored(typed, own, part, a, least, low, high, nothing, 0 if number or seeded else k, room) for own in some]
+                r, c, score = (np.concatenate(e) for e in zip(*found))
             if len(r):
                 waiting.append((r, a + c, score))
-            if waiting and (not number or sum(len(w[0]) for w in waiting) > len(q)):
+            if waiting and (not number or sum(len(w[0]) for w in waiting) > 2 * len(q)):
                 merge()
         if waiting:
             merge()
         row, at, score = state
         return row, self.ids[at], score.astype(np.int64)
 
+    def _scored(self, typed: np.ndarray, rows: np.ndarray, part: np.ndarray, a: int, least: np.ndarray, low: np.ndarray, high: np.ndarray, nothing: float, k: int, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place in the tile from ``a`` on and score of all pairs above their query's least, without its own id.
+
+        With ``k``, the tile gives the first thresholds: only its k best of a query and their equals stay.
+        """
+        n = len(part)
+        scores = room[: len(rows) * n].reshape(len(rows), n)
+        np.matmul(typed[rows], part.T, out=scores)
+        if n > k > 0:
+            for i in np.flatnonzero((low[rows] < a + n) & (high[rows] > a) & (low[rows] < high[rows])):
+                scores[i, max(low[rows[i]] - a, 0) : high[rows[i]] - a] = nothing
+            r, c = _where(scores >= np.partition(scores, n - k, axis=1)[:, n - k, None])
+            score = scores[r, c]
+        else:
+            some = np.flatnonzero(scores.max(axis=1) > least[rows])
+            scores, rows = scores[some], rows[some]
+            r, c = _where(scores > least[rows][:, None])
+            score = scores[r, c]
+        r = rows[r]
+        kept = (score > least[r]) & ((a + c < low[r]) | (a + c >= high[r]))
+        return r[kept], c[kept], score[kept]
+
     def _probe(self, joint: list[np.ndarray], part: np.ndarray, rows: np.ndarray, least: np.ndarray, slack: float, dim: int) -> int | None:
         """The level whose bounds and survivors cost least; None if scoring all pairs costs less."""
         some = rows[:: max(1, len(rows) // 64)]
@@ -299,7 +339,7 @@ class _Held:
     def add(self, narrow: bool, ids: np.ndarray, x: np.ndarray) -> None:
         (self.narrow if narrow else self.wide).append((ids, x))
 
-    def search(self, narrow: bool, q_ids: np.ndarray, q: np.ndarray, k: int, scale: int) -> Iterator[pa.RecordBatch]:
+    def search(self, narrow: bool, q_ids: np.ndarray, q: np.ndarray, k: int, scale: int, floor: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         if self.narrow and self.group is None:
             ids, x = (np.concatenate(c) for c in zip(*self.narrow))
             self.narrow[1:] = []
@@ -307,7 +347,7 @@ class _Held:
             self.group = Group(ids[order], x[order], self.tile)
             self.narrow[0] = (self.group.ids, self.group.x)
         if self.group is not None and narrow:
-            yield _found(q_ids, *self.group.best(q_ids, q, k))
+            yield _found(q_ids, *self.group.best(q_ids, q, k, floor))
         others = self.wide if narrow else [*((*n, True) for n in self.narrow), *self.wide]
         for ids, x, *small in others:
             yield _searched(q_ids, q, narrow, ids, x, bool(small), k, scale, self.tile)
@@ -334,7 +374,21 @@ def _searched(q_ids: np.ndarray, q: np.ndarray, q_narrow: bool, ids: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _FOUND_ARROW)], schema=_FOUND_ARROW)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 1024, block: int = _TILE, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def _seeds(rows: DataFrame, k: int, scale: int) -> Broadcast:
+    """Ids, in order, and 16-bit components of the narrow rows, by their length."""
+    found: dict[int, list] = {}
+    for r in _pack(rows, 0, 1, k, scale, 0).where("narrow").select("dim", "ids", "data").collect():
+        ids = np.frombuffer(r["ids"], dtype=np.int64)
+        found.setdefault(r["dim"], []).append((ids, np.frombuffer(r["data"], dtype=np.int16).reshape(len(ids), r["dim"])))
+    sorted_by_id = {}
+    for dim, parts in found.items():
+        ids, x = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(ids, kind="stable")
+        sorted_by_id[dim] = ids[order], x[order]
+    return rows.sparkSession.sparkContext.broadcast(sorted_by_id)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 1024, block: int = _TILE, group_bytes: int = GROUP_BYTES, seed_bytes: int = SEED_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best candidates."""
     spark = vectors.sparkSession
     kind = vectors.select(F.col(vector_col).alias("v")).schema["v"].dataType.elementType.simpleString()
@@ -344,7 +398,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     held = known.agg(F.sum(F.size(F.col(vector_col)).cast("long")).alias("n")).first()["n"] or 0
     parts = max(2 * spark.sparkContext.defaultParallelism, math.ceil(2 * held / group_bytes))
     data = _pack(known.select(*own), 0, parts, k, scale, 0)
-    asked = _pack(known.where(is_query).select(*own).distinct(), 1, parts, k, scale, query_block)
+    # Whatever the sample, no result changes: a threshold is a score of rows that take part.
+    seeds = _seeds(known.select(*own).where(F.rand(7) < seed_bytes / (2 * held)), k, scale) if 2 * held > group_bytes else None
+    asked = _pack(known.where(is_query).select(*own).distinct(), 1, parts, k, scale, query_block, seeds)
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     met = data.unionByName(asked).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
 
@@ -359,7 +415,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
                 if r[1] == 0:
                     held_of.setdefault(r[2], _Held(block)).add(r[3], ids, x)
                 elif r[2] in held_of:
-                    yield from held_of[r[2]].search(r[3], ids, x, k, scale)
+                    floor = None if r[6] is None else np.frombuffer(r[6], dtype=np.int64)
+                    yield from held_of[r[2]].search(r[3], ids, x, k, scale, floor)
 
     found = met.mapInArrow(run, _FOUND)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
