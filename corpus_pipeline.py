@@ -31,10 +31,13 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID, learnt from the labelled rows; documents whose language can't be told go."""
+    """Language ID, learnt from the labelled rows; documents whose language can't be told go.
+
+    Those are the ones without a letter, and the ones that the model finds about equally near to two languages.
+    """
     _small_batches(spark)
     model = language_id.learn(docs, LID_PER_LANGUAGE, LID_MAX_ROWS, "doc_id", "text", "lang")
-    return language_id.filter_known(docs, model)
+    return language_id.filter_known(docs, model, keep_ambiguous=False)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -240,16 +240,17 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return found.withColumnRenamed("id", id_col)
 
 
-def filter_known(docs: DataFrame, model: Model | None, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
+def filter_known(docs: DataFrame, model: Model | None, text_col: str = "text", min_score: float = 0.0, keep_ambiguous: bool = True) -> DataFrame:
     """Rows of ``docs`` with all their columns whose language could be told.
 
-    Rejected: ``und``, and rows whose score is below ``min_score``.
+    Rejected: ``und``, rows whose score is below ``min_score``, and without
+    ``keep_ambiguous`` those whose two nearest languages are about equally near.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
         out = (predict(shared.value, t) for t in texts)
-        return pd.Series([lang != UND and score >= min_score for lang, _, score, _ in out], dtype=bool)
+        return pd.Series([lang != UND and score >= min_score and (keep_ambiguous or not ambiguous) for lang, _, score, ambiguous in out], dtype=bool)
 
     return docs.where(known(F.col(text_col)))
