@@ -37,11 +37,12 @@ the rows.  Extra columns are kept by :func:`drop_lines`, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import stored
 
@@ -75,7 +76,9 @@ def tokens(line: Column) -> Column:
 def _shingles(w: Column) -> Column:
     grams = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)]))
     short = F.array(F.xxhash64(F.lit("short"), w))
-    return F.when(F.size(w) >= SHINGLE, grams).when(F.size(w) > 0, short).otherwise(F.array().cast("array<long>"))
+    # With elements that are never null in all branches, sets are sorted and compared as plain longs.
+    none = F.array().cast(ArrayType(LongType(), containsNull=False))
+    return F.when(F.size(w) >= SHINGLE, grams).when(F.size(w) > 0, short).otherwise(none)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None) -> DataFrame:
@@ -83,10 +86,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, only: DataFrame | None =
 
     ``only`` names the ids of the documents that are looked at.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    # The digest is made here, once a text, so that the text itself need not go along with its lines.
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).where("id is not null")
     if only is not None:
         rows = rows.join(_light(stored(only.select("id").distinct(), "line-ids")), "id", "left_semi")
-    return rows.select("id", F.xxhash64("text").alias("row"), F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("at", "line"))
+    return rows.select("id", "row", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("at", "line"))
 
 
 def _light(rows: DataFrame) -> DataFrame:
@@ -94,14 +98,16 @@ def _light(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _parity(tokens: Column, half: int) -> Column:
-    """Parities of the tokens at 64 bits; each token counts in one of two halves."""
+def _table(values: Iterable[int], of: str) -> Column:
+    """The numbers as a literal array; its items take a long as their index, without a cast."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{of}>")
 
-    def bit(t: Column) -> Column:
-        own = F.shiftright(t if half else F.bitwise_not(t), 6).bitwiseAND(F.lit(1))
-        return F.call_function("shiftleft", own, t.bitwiseAND(F.lit(63)).cast("int"))
 
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(bit(t)))
+def _parity(tokens: Column, half: int) -> Column:
+    """Parities of the tokens at 64 bits; each token counts in one of two halves, by its bit 6."""
+    signed = [1 << k for k in range(63)] + [-1 << 63]
+    bit = _table([0] * 64 + signed if half else signed + [0] * 64, "long")
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(bit[t.bitwiseAND(F.lit(127))]))
 
 
 def _least_overlap(n: Column, num: int, den: int) -> Column:
@@ -135,17 +141,17 @@ def frequent(full: DataFrame) -> Column:
     token = full.select(F.explode("slice").alias("t"))
     counts = token.groupBy(F.col("t").bitwiseAND(F.lit(_BUCKETS - 1)).cast("int").alias("b")).count().collect()
     order = sorted(counts, key=lambda r: (-r["count"], r["b"]))
-    often = ["0"] * _BUCKETS
+    often = [0] * _BUCKETS
     for k, r in enumerate(order[: _BUCKETS // _FREQUENT]):
-        often[r["b"]] = str(_BUCKETS // _FREQUENT - k)
-    return F.split(F.lit(",".join(often)), ",").cast("array<int>")
+        often[r["b"]] = _BUCKETS // _FREQUENT - k
+    return _table(often, "int")
 
 
 def _by_rarity(tokens: Column, often: Column) -> tuple[Column, Column]:
     """The tokens of an array that are rare and those that are frequent, each in its order."""
 
     def rank(t: Column) -> Column:
-        return F.get(often, t.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int"))
+        return often[t.bitwiseAND(F.lit(_BUCKETS - 1))]
 
     ranked = F.transform(F.filter(tokens, lambda t: rank(t) > 0), lambda t: F.struct(rank(t).alias("r"), t.alias("t")))
     return F.filter(tokens, lambda t: rank(t) == 0), F.transform(F.array_sort(ranked), lambda x: x["t"])
